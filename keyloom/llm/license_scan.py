@@ -45,8 +45,8 @@ GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 COVERAGE = 0.6
 
 
-def postings(spark: SparkSession) -> DataFrame:
-    """(template, kind, label, word, tpos, key): the index, of a size fixed by the templates."""
+def posting_rows() -> list[tuple]:
+    """(template, kind, label, word, tpos, key) of every template word."""
     rows = []
     for phrase, label in BASE_PHRASES:
         rows += [(f"base:{label}", "base", label, w, k, True) for k, w in enumerate(phrase.split())]
@@ -55,7 +55,12 @@ def postings(spark: SparkSession) -> DataFrame:
         while words[k : k + len(key.split())] != key.split():
             k = words.index(key.split()[0], k + 1)
         rows += [(f"method:{label}", "method", label, w, i, k <= i < k + len(key.split())) for i, w in enumerate(words)]
-    return spark.createDataFrame(rows, "template string, kind string, label string, word string, tpos int, key boolean")
+    return rows
+
+
+def postings(spark: SparkSession) -> DataFrame:
+    """The index, of a size fixed by the templates."""
+    return spark.createDataFrame(posting_rows(), "template string, kind string, label string, word string, tpos int, key boolean")
 
 
 def word_hits(docs: DataFrame, index: DataFrame, id_col: str, text_col: str) -> DataFrame:

@@ -34,3 +34,88 @@ SELECT y.doc_id, y.source, y.tokens::BIGINT AS tokens, z.epoch::BIGINT AS epoch,
 FROM y JOIN z ON y.s = z.s AND y.block = z.block
 WHERE (z.base < z.budget OR z.tokens = 0) AND (z.base + y.before < z.budget OR z.tokens = 0 OR (y.tokens = 0 AND z.base + y.before <= z.budget))
 """
+
+_ALPHABET_32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+
+#: WARC round trip: base32 is made from each five hexadecimal digits of the SHA-1.
+WARC_SQL = f"""
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
+g AS (SELECT page_id, CAST(octet_length(b) AS BIGINT) AS payload_bytes, sha1(b) AS h, min(page_id) OVER (PARTITION BY b) AS low FROM p)
+SELECT page_id, payload_bytes,
+  array_to_string(list_transform(range(32), lambda i: substr('{_ALPHABET_32}', CAST(1 + ((('0x' || substr(h, CAST(1 + 5 * (i // 4) AS BIGINT), 5))::BIGINT >> (15 - 5 * (i % 4))::INTEGER) & 31) AS BIGINT), 1)), '') AS payload_digest,
+  CASE WHEN page_id = low THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> low THEN low END AS refers_to FROM g
+"""
+
+
+def quality_sql(measures: dict[str, tuple[int, bool]], reach: int = 2, least: int = 200) -> str:
+    """The quality rules with their sketches: integer histograms, merged by adding, read at the quartiles."""
+    from_rows = " UNION ALL ".join(f"SELECT rid, lang, source, '{m}' AS measure, {m} AS v FROM m" for m in measures)
+    slack = " ".join(f"WHEN '{m}' THEN {s}" for m, (s, _) in measures.items())
+    lower = ", ".join(f"'{m}'" for m, (_, low) in measures.items() if low)
+    order = " ".join(f"WHEN '{m}' THEN {k}" for k, m in enumerate(measures))
+
+    def fence(by: str) -> str:
+        keys = f"{by}, " if by else ""
+        part = f"PARTITION BY {keys}measure"
+        return f"""(SELECT {keys}measure, max(docs) AS docs, min(CASE WHEN upto * 4 >= docs THEN floor_of END) AS q1, min(CASE WHEN upto * 4 >= docs * 3 THEN floor_of END) AS q3 FROM (
+          SELECT *, sum(n) OVER ({part} ORDER BY bucket) AS upto, sum(n) OVER ({part}) AS docs, CASE WHEN bucket < 128 THEN bucket ELSE (bucket - 64 * (bucket // 64 - 1)) << (bucket // 64 - 1)::INTEGER END AS floor_of
+          FROM (SELECT {keys}measure, bucket, sum(n)::BIGINT AS n FROM s GROUP BY ALL)) GROUP BY {keys}measure)"""
+
+    return rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS rid, doc_id, coalesce('=' || lang, '') AS lang, coalesce('=' || source, '') AS source, coalesce(text, '') AS text,
+    regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), g AS (SELECT rid, unnest(range(1, len(w) - 1)) AS i, w FROM d WHERE len(w) > 2),
+c AS (SELECT rid, i, count(*) OVER (PARTITION BY rid, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) AS n FROM g),
+r AS (SELECT rid, count(DISTINCT p) AS n FROM (SELECT rid, unnest([i, i + 1, i + 2]) AS p FROM c WHERE n > 1) GROUP BY rid),
+b AS (
+  SELECT d.*, CAST(len(w) AS BIGINT) AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars, CAST(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+    list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines, coalesce(r.n, 0)::BIGINT AS n_repeat_words,
+    length(regexp_replace(text, '[^A-ZÀ-ÖØ-Þ]', '', 'g')) AS n_capitals, length(regexp_replace(text, '[^!-/:-@\[-`{{-~]', '', 'g')) AS n_marks FROM d LEFT JOIN r USING (rid)
+), m AS (
+  SELECT rid, doc_id, lang, source, n_words, word_chars, n_symbols, CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, n_repeat_words,
+    100 * word_chars // greatest(n_words, 1) AS mean_length, 1000 * n_symbols // greatest(word_chars, 1) AS symbols, 1000 * (len(lines) - len(list_distinct(lines))) // greatest(len(lines), 1) AS dup_lines,
+    1000 * n_repeat_words // greatest(n_words, 1) AS repeats, 1000 * n_capitals // greatest(word_chars, 1) AS capitals, 1000 * n_marks // greatest(word_chars, 1) AS marks,
+    n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM b
+), v AS ({from_rows}),
+s AS (
+  SELECT v.lang, v.source, measure, CASE WHEN v < 128 THEN v ELSE 64 * (length(bin(v)) - 7) + (v >> (length(bin(v)) - 7)::INTEGER) END AS bucket, count(*) AS n
+  FROM v JOIN m USING (rid) WHERE NOT base_failed GROUP BY ALL
+), f AS (
+  SELECT p.lang, p.source, p.measure, CASE WHEN p.docs >= {least} THEN [p.q1, p.q3] WHEN l.docs >= {least} THEN [l.q1, l.q3] ELSE [e.q1, e.q3] END AS q
+  FROM {fence("lang, source")} p JOIN {fence("lang")} l ON p.lang = l.lang AND p.measure = l.measure JOIN {fence("")} e ON p.measure = e.measure
+), t AS (SELECT *, {reach} * greatest(q[2] - q[1], CASE measure {slack} END) AS wide FROM f),
+x AS (
+  SELECT v.rid, string_agg(v.measure, ',' ORDER BY CASE v.measure {order} END) AS failed FROM v JOIN t ON v.lang = t.lang AND v.source = t.source AND v.measure = t.measure
+  WHERE v.v > q[2] + wide OR (v.measure IN ({lower}) AND v.v < q[1] - wide) GROUP BY v.rid
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND failed IS NULL AS kept, coalesce(failed, '') AS failed FROM m LEFT JOIN x USING (rid)
+"""
+
+
+def license_sql(rows: list[tuple], common: list[str], anchor: str, coverage: float) -> str:
+    """The licence index in SQL; ``rows`` are its postings (template, kind, label, word, position, key)."""
+    values = ", ".join(f"('{t}', '{k}', '{x}', '{w}', {p}, {int(key)})" for t, k, x, w, p, key in rows)
+    words = ", ".join(f"'{w}'" for w in common)
+    return rf"""
+WITH ix(template, kind, label, word, tpos, key) AS (VALUES {values}),
+d AS (
+  SELECT row_number() OVER () AS rid, doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents
+), w AS (SELECT rid, doc_id, regexp_matches(text, '{anchor}') AS anchor, regexp_extract_all(text, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM d),
+u AS (SELECT rid, anchor, unnest(w) AS word, unnest(range(len(w))) AS pos FROM w),
+h AS (SELECT rid, word, pos FROM u WHERE word IN (SELECT word FROM ix) AND (anchor OR word NOT IN ({words}))),
+n AS (SELECT count(*)::DOUBLE AS n FROM d),
+f AS (SELECT word, count(DISTINCT rid) AS df FROM h GROUP BY word),
+i AS (SELECT word, CASE WHEN df * 5 < n AND word NOT IN ({words}) THEN round(ln(n / df) + 1, 6) ELSE 0 END AS weight FROM f, n),
+q AS (SELECT ix.*, coalesce(i.weight, CASE WHEN word IN ({words}) THEN 0.0 ELSE 1.0 END) AS weight FROM ix LEFT JOIN i USING (word)),
+t AS (SELECT template, sum(weight) AS all_weight, sum(key) AS key_words FROM q GROUP BY template),
+a AS (SELECT rid, template, kind, label, pos - tpos AS start, sum(weight) AS weight, sum(key) AS keys FROM h JOIN q USING (word) GROUP BY ALL),
+m AS (SELECT a.*, CASE WHEN all_weight > 0 THEN a.weight / all_weight ELSE 1.0 END AS share FROM a JOIN t USING (template) WHERE keys = key_words),
+o AS (
+  SELECT rid, count(*) FILTER (kind = 'base') AS n_base, min(start) FILTER (kind = 'base') AS first_word, max(start) FILTER (kind = 'base') AS last_word,
+    coalesce(array_to_string(list_sort(list(DISTINCT label) FILTER (kind = 'base')), ','), '') AS base_labels, array_to_string(list_sort(list(DISTINCT label)), ',') AS labels,
+    max(CASE WHEN kind = 'base' THEN 1.0 ELSE round(share, 6) END) AS score FROM m WHERE kind = 'base' OR share >= {coverage} GROUP BY rid
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, CAST(least(1.0, coalesce(score, 0)) AS DOUBLE) AS score
+FROM w LEFT JOIN o USING (rid)
+"""

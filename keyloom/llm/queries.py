@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from . import exact_dedup, language_id, license_scan, mixing, packing, quality, secrets, simhash, url_filter, warc
 from .common import table
-from .oracles import MIX_SQL
+from .oracles import MIX_SQL, WARC_SQL, license_sql, quality_sql
 
 WINDOW = 4096
 #: How often a source may be read at most while the source read least is read once.
@@ -71,4 +71,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_source_mixing": MIX_SQL, "op10_exact_dedup": exact_dedup.DEDUP_SQL}
+    anchor = license_scan.ANCHOR.removeprefix("(?i)")
+    return {
+        "op1_source_mixing": MIX_SQL,
+        "op2_license_scan": license_sql(license_scan.posting_rows(), license_scan.COMMON, anchor, license_scan.COVERAGE),
+        "op4_warc": WARC_SQL,
+        "op7_quality_rules": quality_sql(quality.MEASURES),
+        "op10_exact_dedup": exact_dedup.DEDUP_SQL,
+    }

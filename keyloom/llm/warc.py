@@ -189,10 +189,3 @@ def round_trip(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
         return spark.createDataFrame([], f"page_id {kind}, payload_bytes long, payload_digest string, record_type string, refers_to {kind}")
     return read_archives(spark, folder, kind).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
-
-WARC_SQL = """
-WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
-g AS (SELECT page_id, octet_length(b) AS payload_bytes, sha1(b) AS h, min(page_id) OVER (PARTITION BY b) AS low FROM p)
-SELECT page_id, payload_bytes, h AS payload_sha1, CASE WHEN page_id = low THEN 'response' ELSE 'revisit' END AS record_type,
-  CASE WHEN page_id <> low THEN low END AS refers_to FROM g
-"""
