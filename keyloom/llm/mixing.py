@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from .common import WORD_RUN, fresh, stage
 
 HALVINGS = 30
+#: Blocks that a source is cut into at most: beyond, its blocks grow, and no window over blocks exceeds this.
+MOST_BLOCKS = 1 << 20
 #: Halvings of the interval whose possible midpoints one pass over the sources tries together.
 PER_PASS = 5
 
@@ -83,7 +85,7 @@ def source_plan(sources: DataFrame, entropy: float | None = None, max_epochs: fl
         out = out.withColumn("budget", F.greatest("tokens", F.floor(F.col("weight") * F.lit(whole) + 0.5)))
     else:
         out = out.withColumn("budget", F.floor(F.col("weight") * F.lit(float(budget)) + 0.5))
-    return stage(out.withColumn("blocks", F.ceil((F.col("tokens") + 1) / F.lit(block_tokens)).cast("long")).withColumn("exponent", F.lit(a)), "mixing-plan")
+    return stage(out.withColumn("blocks", F.least(F.ceil((F.col("tokens") + 1) / F.lit(block_tokens)), F.lit(MOST_BLOCKS)).cast("long")).withColumn("exponent", F.lit(a)), "mixing-plan")
 
 
 def mix(

@@ -17,7 +17,7 @@ b(n, low, high) AS (
 w AS (SELECT s, tokens, CASE WHEN tokens > 0 THEN pow(share, a) / (SELECT sum(pow(share, a)) FROM p, e WHERE tokens > 0) ELSE 0 END AS weight FROM p, e),
 q AS (
   SELECT s, tokens, weight, greatest(tokens, floor(weight * (SELECT max(tokens / weight) FROM w WHERE tokens > 0) + 0.5))::BIGINT AS budget,
-    CAST(ceil((tokens + 1) / 262144.0) AS BIGINT) AS blocks FROM w
+    least(CAST(ceil((tokens + 1) / 262144.0) AS BIGINT), 1048576) AS blocks FROM w
 ), x AS (
   SELECT d.*, ('0x' || substr(md5('11|' || k || '|block'), 1, 8))::BIGINT % q.blocks AS block, md5('11|' || k) AS ord FROM d JOIN q USING (s)
 ), y AS (
