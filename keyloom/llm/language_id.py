@@ -10,7 +10,6 @@ language of the largest proportion, and the score is that proportion.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,7 +25,6 @@ SMOOTHING = 0.05
 #: Languages that a document can be found to hold at most, and rounds of expectation-maximisation.
 MAX_LANGUAGES, ROUNDS = 4, 25
 
-_LETTER = re.compile(r"[^\W\d_]")
 _TO = np.full(256, 32, np.uint8)
 _TO[128:] = np.arange(128, 256)
 _TO[97:123] = np.arange(97, 123)
@@ -67,7 +65,7 @@ class LanguageModel:
 
     def infer(self, text: str | None) -> tuple[str, float, list[tuple[str, float]]]:
         """Prediction, score, and the chosen languages with their proportions, largest first."""
-        if not text or not self.languages or not _LETTER.search(text):
+        if not text or not self.languages or not any(map(str.isalpha, text)):
             return UNDETERMINED, 0.0, []
         at, n = trigram_counts(text)
         if not len(at):
@@ -155,7 +153,16 @@ def learn_and_identify(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def keep_identified(docs: DataFrame, least: float = 0.5, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """``docs`` without the rows whose language is undetermined or holds less than ``least`` of the text."""
+    """``docs`` without the rows whose language is undetermined or holds less than ``least`` of the text.
+
+    Columns of whatever names stay as they are. An empty table, or one without labels, gives an empty result.
+    """
     model = train(docs.filter(~held_out(id_col)), lang_col, text_col, key_col=id_col)
-    kept = identify(docs, model, text_col).filter((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= least))
-    return kept.select(*docs.columns)
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [model.infer(t.as_py()) for t in b.column(at)]
+            yield b.filter(pa.array([lang != UNDETERMINED and score >= least for lang, score, _ in found], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -38,6 +38,9 @@ def test_edges(spark):
     assert len(got) == 7 and sum(r["lang_pred"] == "und" for r in got) == 3 and all(r["score"] == 0 for r in got if r["lang_pred"] == "und")
     assert language_id.identify(df.limit(0), model).count() == 0
     assert {r["lang_pred"] for r in language_id.learn_and_identify(df.limit(0).unionByName(df.limit(2))).collect()} == {"und"}
+    assert model.infer("\u00bd \u00b2 \u2167 12")[0] == "und" and model.infer("\u00e9")[0] != "und"  # numerals are no letters
+    clash = language_id.keep_identified(docs.selectExpr("*", "doc_id AS score", "'x' AS lang_pred")).filter("score <=> doc_id AND lang_pred = 'x'")
+    assert clash.count() >= docs.count() - 5 and clash.columns == [*docs.columns, "score", "lang_pred"]
     kept = language_id.keep_identified(docs)
     assert kept.columns == docs.columns and kept.count() >= docs.count() - 5
 
