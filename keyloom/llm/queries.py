@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import exact_dedup, language_id, license_scan, mixing, packing, quality, secrets, simhash, url_filter, warc
-from .common import table
+from .common import stage, table
 from .oracles import MIX_SQL, WARC_SQL, license_sql, quality_sql
 
 WINDOW = 4096
@@ -23,8 +23,9 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
 
 
 def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    out = mixing.mix(docs.withColumn("tokens", mixing.token_count(F.col("text"))).drop("text"), max_epochs=MAX_EPOCHS, tokens_col="tokens")
+    # The texts are read and counted once; all passes of the operator are over the counts.
+    counted = stage(table(spark, sf_dir, "documents").select("doc_id", "source", mixing.token_count(F.col("text")).alias("tokens")), "mixing-counts")
+    out = mixing.mix(counted, max_epochs=MAX_EPOCHS, tokens_col="tokens")
     return out.select("doc_id", "source", F.col("mix_tokens").alias("tokens"), F.col("mix_epoch").alias("epoch"), F.col("mix_block").alias("block"), F.col("mix_start").alias("start"), F.col("mix_weight").alias("weight"))
 
 
