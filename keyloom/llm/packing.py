@@ -36,8 +36,9 @@ from pyspark.sql import functions as F
 from .common import stage
 
 END_ID = 1
-#: Entries that a worker's token cache holds at most before it starts anew. No effect on results.
+#: Entries that a worker's token cache holds at most before it starts anew, and the longest chunk it keeps. No effect on results.
 CACHE_ENTRIES = 500_000
+CACHED_CHARS = 48
 
 _LATIN_WORD = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)\\Z")
 
@@ -73,7 +74,9 @@ class ChunkTokenizer:
             if len(self.words) >= CACHE_ENTRIES:
                 self.words.clear()
             ids = [t.id for t in self.model.tokenize(word.encode().decode("latin-1").translate(self.bytes_as_letters))]
-            got = self.words[word] = struct.pack(f"<{len(ids)}I", *ids)
+            got = struct.pack(f"<{len(ids)}I", *ids)
+            if len(word) <= CACHED_CHARS:
+                self.words[word] = got
         return got
 
     def _chunk(self, chunk: str) -> bytes:
@@ -89,10 +92,11 @@ class ChunkTokenizer:
         except KeyError:
             if len(known) >= CACHE_ENTRIES:
                 known.clear()
+            long: dict[str, bytes] = {}  # chunks without a space can be as long as a text: these are not kept
             for c in set(chunks):
                 if c not in known:
-                    known[c] = self._chunk(c)
-            return b"".join(map(known.__getitem__, chunks))
+                    (known if len(c) <= CACHED_CHARS else long)[c] = self._chunk(c)
+            return b"".join([known[c] if c in known else long[c] for c in chunks])
 
 
 @functools.lru_cache(1)
