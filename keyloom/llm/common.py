@@ -13,6 +13,8 @@ SPACE_RUN = "[\\x20\\x09-\\x0D]+"
 WORD_RUN = "[^\\x20\\x09-\\x0D]+"
 
 _CHECKPOINT_CONF = "spark.checkpoint.dir"
+#: Bytes of an Arrow batch between the JVM and Python while a table is staged: a task holds a batch on both sides, and long texts fill large ones.
+_BATCH_CONF, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20
 _staged: list[tuple[SparkSession, str]] = []
 
 
@@ -63,7 +65,12 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.parquet(path)
+    before = spark.conf.get(_BATCH_CONF)
+    spark.conf.set(_BATCH_CONF, BATCH_BYTES)
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_BATCH_CONF, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
