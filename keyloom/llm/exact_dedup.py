@@ -22,8 +22,13 @@ def text_digest(text) -> F.Column:
     return F.sha2(F.regexp_replace(F.coalesce(text, F.lit("")), SPACE_RUN, " ").cast("binary"), 256)
 
 
+def buckets_for(rows: int, per_bucket: int = 4_000_000, least: int = 64, most: int = 65_536) -> int:
+    """Buckets of an index for so many rows: a power of two, so that a bucket stays within a task's reach as the input grows."""
+    return min(most, max(least, 1 << max(0, -(-rows // per_bucket) - 1).bit_length()))
+
+
 class DigestIndex:
-    """The persistent index below ``path``; reopened from its files by any later session."""
+    """The persistent index below ``path``; reopened from its files, with the same ``buckets``, by any later session."""
 
     def __init__(self, spark: SparkSession, path: str | None = None, buckets: int = 64, id_type: str = "bigint"):
         self.spark, self.buckets = spark, buckets
@@ -61,9 +66,9 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     as it is. Only the two named columns are read.
     """
     spark = docs.sparkSession
-    index = index or DigestIndex(spark, id_type=docs.schema[id_col].dataType.simpleString())
     rows = docs.select(F.col(id_col).alias("id"), text_digest(F.col(text_col)).alias("digest")).withColumn("row", F.monotonically_increasing_id())
     rows = stage(rows.select("id", "digest", "row"), "digest-rows")
+    index = index or DigestIndex(spark, buckets=buckets_for(rows.count()), id_type=docs.schema[id_col].dataType.simpleString())
     known = index.table().select("digest").limit(1).count() > 0
     before = stage(rows.select("digest").distinct().join(index.table().select("digest").hint("merge"), "digest", "left_semi"), "digest-known") if known else None
     index.add(rows)
