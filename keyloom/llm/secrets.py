@@ -74,9 +74,12 @@ class SecretModel:
         if not words or len(max(words, key=len)) < LEAST and "AKIA" not in text and not any(k in text.lower() for k in _KEYWORDS):
             return [], []  # whatever else a rule wants is a word of LEAST characters or more
         base = base_spans(text)
-        more = []
-        for m in _RUN.finditer(text):
-            if not any(s < m.end() and m.start() < e for s, e, _ in base) and self.score(m[0]) > self.threshold:
+        more, at, reached = [], 0, 0
+        for m in _RUN.finditer(text):  # both stand in order: a base span is passed once, however many a text holds
+            while at < len(base) and base[at][0] < m.end():
+                reached = max(reached, base[at][1])
+                at += 1
+            if reached <= m.start() and self.score(m[0]) > self.threshold:
                 more.append((m.start(), m.end(), "markov"))
         return base, sorted(base + more, key=lambda s: (s[0], KINDS[s[2]])) if more else base
 

@@ -38,3 +38,9 @@ def test_index_persists(spark):
     assert again.table().count() == 3
     plan = again.table().select("digest").join(again.table().select("digest").hint("merge"), "digest")._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan  # bucketed by the join key: nothing is shuffled
+
+
+def test_buckets_grow_with_the_rows():
+    from keyloom.llm.exact_dedup import buckets_for
+
+    assert [buckets_for(n) for n in (0, 1, 256_000_000, 256_000_001, 10**10, 10**13)] == [64, 64, 64, 128, 4096, 65_536]

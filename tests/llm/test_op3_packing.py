@@ -65,3 +65,14 @@ def test_genetic_operators_keep_all_items():
         assert len(child) == 300 and packing._fills(size, child).max() <= 64 and packing._fills(size, child).min() > 0
     best = packing.evolve(size, 64, [], 4, 30, 5)[0]
     assert packing.fitness(size, best, 64) >= packing.fitness(size, a, 64)
+
+
+def test_long_chunks_are_not_cached():
+    from keyloom.llm import packing
+    from keyloom.llm.queries import tokenizer_path
+
+    tok = packing.ChunkTokenizer(tokenizer_path())
+    text = "short " + "w" * 5000 + " 1" * 3 + " " + "é?" * 300
+    want = tok.full.encode(text, add_special_tokens=False).ids
+    assert tok.encode(text) == tok.encode(text) == b"".join(i.to_bytes(4, "little") for i in want)
+    assert max(map(len, [*tok.chunks, *tok.words])) <= packing.CACHED_CHARS
