@@ -201,8 +201,13 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     Of rows that repeat the smallest id one stays, the first by the hash of its text. Rows of a null id
     all stay, as nothing names them. An empty table gives an empty one.
     """
-    key, place = fresh(docs, "id", "place")
     found = near_duplicates(docs, id_col, text_col, shingle).toDF("id", "fingerprint", "component")
+    return keep_least(docs, found, id_col, text_col)
+
+
+def keep_least(docs: DataFrame, found: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The rows of ``docs`` whose id names its component in ``found`` (id, component); of a repeated id one, of null ids all."""
+    key, place = fresh(docs, "id", "place")
     chosen = found.filter("id = component").select(F.col("id").alias(key)).distinct()
     named = docs.filter(F.col(id_col).isNotNull())
     kept = named.join(chosen, named[id_col] == chosen[key], "left_semi")
