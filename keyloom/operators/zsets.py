@@ -127,9 +127,21 @@ def zrank(zsets: DataFrame, reverse: bool = False) -> DataFrame:
     return zsets.withColumn("rank", (F.row_number().over(Window.partitionBy("key").orderBy(*order)) - 1).cast("long"))
 
 
+#: Score ranges of a key's members: each is sorted by itself.
+RANGES = 64
+
+
 def zrank_of(zsets: DataFrame, requests: DataFrame) -> DataFrame:
-    """ZRANK of few ``requests`` (key, member): members before each are counted, and nothing is sorted."""
-    asked = requests.select(*AT).distinct().join(zsets, AT).select("key", F.col("member").alias("__m"), F.col("score").alias("__s"))
-    before = (F.col("score") < F.col("__s")) | ((F.col("score") == F.col("__s")) & (F.col("member") < F.col("__m")))
-    n = zsets.join(asked, "key").groupBy("key", F.col("__m").alias("member")).agg(F.sum(before.cast("long")).alias("rank"))
-    return requests.join(n, AT, "left")
+    """ZRANK of ``requests`` (key, member), few or all: null for no member.
+
+    A key's members are cut into ranges of scores of about equal counts. A rank is the number of members in
+    the ranges before and the place in the own range. Members of one score fall in one range.
+    """
+    held = zsets.join(requests.select("key").distinct(), "key", "left_semi")
+    cuts = held.groupBy("key").agg(F.percentile_approx("score", [k / RANGES for k in range(1, RANGES)], 1000).alias("__cuts"))
+    cut = held.join(cuts, "key").withColumn("__range", F.expr("size(filter(__cuts, c -> c < score))")).drop("__cuts")
+    sizes = cut.groupBy("key", "__range").agg(F.count("*").alias("__n"))
+    before = sizes.withColumn("__before", F.coalesce(F.sum("__n").over(Window.partitionBy("key").orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("__n")
+    place = F.row_number().over(Window.partitionBy("key", "__range").orderBy(*_up())) - 1
+    ranks = cut.withColumn("__place", place).join(before, ["key", "__range"]).select(*AT, (F.col("__place") + F.col("__before")).cast("long").alias("rank"))
+    return requests.join(ranks, AT, "left")
