@@ -118,7 +118,7 @@ def mix(
     epochs = plan.filter(times >= 1).select("source", "tokens", "budget", "weight", F.explode(F.sequence(F.lit(0).cast("long"), times.cast("long") - 1)).alias("epoch"))
     turn = Window.partitionBy("source", "epoch").orderBy(_unit(F.lit(seed), F.col("epoch"), F.col("source"), F.col("block")), "block").rowsBetween(Window.unboundedPreceding, -1)
     runs = epochs.join(blocks, "source").withColumn("base", F.col("epoch") * F.col("tokens") + F.coalesce(F.sum("held").over(turn), F.lit(0)))
-    runs = stage(runs.filter("base < budget or tokens = 0").groupBy("source", "block").agg(F.collect_list(F.struct("epoch", "base", "budget", "weight", "tokens")).alias("reads")), "mixing-blocks")
+    runs = stage(runs.filter("base <= budget or tokens = 0").groupBy("source", "block").agg(F.collect_list(F.struct("epoch", "base", "budget", "weight", "tokens")).alias("reads")), "mixing-blocks")
     within = Window.partitionBy(src, block).orderBy(order, key, tok).rowsBetween(Window.unboundedPreceding, -1)
     placed = dealt.withColumn(before, F.coalesce(F.sum(tok).over(within), F.lit(0)))
     reads = runs.select(F.col("source").alias(src), F.col("block").alias(block), F.col("reads").alias(base))
