@@ -47,19 +47,24 @@ SELECT page_id, payload_bytes,
 """
 
 
-def quality_sql(measures: dict[str, tuple[int, bool]], reach: int = 2, least: int = 200) -> str:
-    """The quality rules with their sketches: integer histograms, merged by adding, read at the quartiles."""
+def quality_sql(measures: dict[str, tuple[bool, bool]], reach: int, prior: int) -> str:
+    """The quality rules with their sketches: integer histograms, merged by adding, read at the quartiles and drawn towards the parent's."""
     from_rows = " UNION ALL ".join(f"SELECT rid, lang, source, '{m}' AS measure, {m} AS v FROM m" for m in measures)
-    slack = " ".join(f"WHEN '{m}' THEN {s}" for m, (s, _) in measures.items())
+    some = ", ".join(f"'{m}'" for m, (positive, _) in measures.items() if positive)
     lower = ", ".join(f"'{m}'" for m, (_, low) in measures.items() if low)
     order = " ".join(f"WHEN '{m}' THEN {k}" for k, m in enumerate(measures))
+    names = ", ".join(f"'{m}'" for m in measures)
 
-    def fence(by: str) -> str:
+    def quartiles(by: str) -> str:
         keys = f"{by}, " if by else ""
         part = f"PARTITION BY {keys}measure"
-        return f"""(SELECT {keys}measure, max(docs) AS docs, min(CASE WHEN upto * 4 >= docs THEN floor_of END) AS q1, min(CASE WHEN upto * 4 >= docs * 3 THEN floor_of END) AS q3 FROM (
+        return f"""(SELECT {keys}measure, max(docs)::DOUBLE AS n, min(CASE WHEN upto * 4 >= docs THEN floor_of END)::DOUBLE AS q1, min(CASE WHEN upto * 4 >= docs * 3 THEN floor_of + (1 << CASE WHEN bucket < 128 THEN 0 ELSE bucket // 64 - 1 END::INTEGER) - 1 END)::DOUBLE AS q3 FROM (
           SELECT *, sum(n) OVER ({part} ORDER BY bucket) AS upto, sum(n) OVER ({part}) AS docs, CASE WHEN bucket < 128 THEN bucket ELSE (bucket - 64 * (bucket // 64 - 1)) << (bucket // 64 - 1)::INTEGER END AS floor_of
-          FROM (SELECT {keys}measure, bucket, sum(n)::BIGINT AS n FROM s GROUP BY ALL)) GROUP BY {keys}measure)"""
+          FROM (SELECT {keys}measure, bucket, sum(n)::BIGINT AS n FROM s WHERE bucket > 0 OR measure NOT IN ({some}) GROUP BY ALL)) GROUP BY {keys}measure)"""
+
+    def drawn(q: str) -> str:
+        of_lang = f"((coalesce(l.n, 0.0::DOUBLE) * coalesce(l.{q}, 0.0::DOUBLE) + {float(prior)}::DOUBLE * e.{q}) / (coalesce(l.n, 0.0::DOUBLE) + {float(prior)}::DOUBLE))"
+        return f"((coalesce(p.n, 0.0::DOUBLE) * coalesce(p.{q}, 0.0::DOUBLE) + {float(prior)}::DOUBLE * {of_lang}) / (coalesce(p.n, 0.0::DOUBLE) + {float(prior)}::DOUBLE)) AS {q}"
 
     return rf"""
 WITH d AS (
@@ -81,13 +86,15 @@ b AS (
 s AS (
   SELECT v.lang, v.source, measure, CASE WHEN v < 128 THEN v ELSE 64 * (length(bin(v)) - 7) + (v >> (length(bin(v)) - 7)::INTEGER) END AS bucket, count(*) AS n
   FROM v JOIN m USING (rid) WHERE NOT base_failed GROUP BY ALL
-), f AS (
-  SELECT p.lang, p.source, p.measure, CASE WHEN p.docs >= {least} THEN [p.q1, p.q3] WHEN l.docs >= {least} THEN [l.q1, l.q3] ELSE [e.q1, e.q3] END AS q
-  FROM {fence("lang, source")} p JOIN {fence("lang")} l ON p.lang = l.lang AND p.measure = l.measure JOIN {fence("")} e ON p.measure = e.measure
-), t AS (SELECT *, {reach} * greatest(q[2] - q[1], CASE measure {slack} END) AS wide FROM f),
+), grid AS (SELECT lang, source, unnest([{names}]) AS measure FROM (SELECT DISTINCT lang, source FROM s)),
+f AS (
+  SELECT grid.lang, grid.source, grid.measure, {drawn("q1")}, {drawn("q3")}
+  FROM grid LEFT JOIN {quartiles("")} e ON grid.measure = e.measure LEFT JOIN {quartiles("lang")} l ON grid.lang = l.lang AND grid.measure = l.measure
+    LEFT JOIN {quartiles("lang, source")} p ON grid.lang = p.lang AND grid.source = p.source AND grid.measure = p.measure
+), t AS (SELECT *, {float(reach)}::DOUBLE * (q3 - q1) AS wide FROM f),
 x AS (
   SELECT v.rid, string_agg(v.measure, ',' ORDER BY CASE v.measure {order} END) AS failed FROM v JOIN t ON v.lang = t.lang AND v.source = t.source AND v.measure = t.measure
-  WHERE v.v > q[2] + wide OR (v.measure IN ({lower}) AND v.v < q[1] - wide) GROUP BY v.rid
+  WHERE v.v > q3 + wide OR (v.measure IN ({lower}) AND v.v < q1 - wide) GROUP BY v.rid
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND failed IS NULL AS kept, coalesce(failed, '') AS failed FROM m LEFT JOIN x USING (rid)
 """

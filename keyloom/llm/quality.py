@@ -3,9 +3,13 @@
 Each document's measures are counted into integer histograms of relative error 1/64 (a value below 128
 is its own bucket, beyond that the seven leading bits are). Such sketches merge by adding their
 counts, so those of a (language, source) pair add up to the language's and to the corpus's. A group's
-fences lie ``reach`` times its interquartile range (at least the measure's ``slack``) outside its
-quartiles; groups of fewer than ``least`` documents take their language's sketch, and small languages
-the corpus's. The fences are then joined to the documents and filter them.
+fences lie ``reach`` times its interquartile range outside its quartiles. A share, as of repeated
+lines, is sketched over the documents that have any.
+
+There is no least size of a group. The quartiles of a pair's sketch are drawn towards its language's, and
+those of a language's towards the corpus's, as if ``prior`` more documents of the parent's quartiles had been
+seen: few documents follow their parent and many their own sketch. The fences are then joined to the documents
+and filter them.
 """
 
 from __future__ import annotations
@@ -22,15 +26,17 @@ from pyspark.sql import functions as F
 from .common import stage
 
 SYMBOLS = b"#*$%&|<>"
-#: measure: (slack, has a lower fence). All are integers, mostly thousandths.
+#: measure: (sketched only where it is above zero, has a lower fence). All are integers, mostly thousandths.
 MEASURES = {
-    "mean_length": (150, True),  # hundredths of a code point a word
-    "symbols": (30, False),  # thousandths of the words' code points
-    "dup_lines": (250, False),  # thousandths of the lines with a word
-    "repeats": (200, False),  # thousandths of the words
-    "capitals": (100, False),  # thousandths of the words' code points
-    "marks": (60, False),  # thousandths: punctuation in ASCII
+    "mean_length": (False, True),  # hundredths of a code point a word
+    "symbols": (True, False),  # thousandths of the words' code points
+    "dup_lines": (True, False),  # thousandths of the lines with a word
+    "repeats": (True, False),  # thousandths of the words
+    "capitals": (True, False),  # thousandths of the words' code points
+    "marks": (True, False),  # thousandths: punctuation in ASCII
 }
+#: Interquartile ranges from a quartile to its fence, and documents that a parent's sketch counts for.
+REACH, PRIOR = 5, 50
 
 _NOT_LETTERS = bytes(range(33, 48)) + bytes(range(58, 65)) + bytes(range(91, 97)) + bytes(range(123, 127))
 _CAPITAL = re.compile(r"[A-ZÀ-ÖØ-Þ]")
@@ -89,10 +95,11 @@ def bucket(value) -> F.Column:
     return (F.lit(64) * more + F.call_function("shiftright", value, more)).cast("long")
 
 
-def _floor_of(b) -> F.Column:
-    """The least value of a bucket."""
+def _ends_of(b) -> tuple[F.Column, F.Column]:
+    """The least and the largest value of a bucket."""
     more = F.when(b < 128, 0).otherwise(F.floor(b / 64) - 1).cast("int")
-    return F.call_function("shiftleft", b - F.lit(64) * more, more)
+    low = F.call_function("shiftleft", b - F.lit(64) * more, more)
+    return low, low + F.call_function("shiftleft", F.lit(1).cast("long"), more) - 1
 
 
 def sketches(rows: DataFrame) -> DataFrame:
@@ -101,20 +108,48 @@ def sketches(rows: DataFrame) -> DataFrame:
     return rows.select("lang", "source", F.explode(each).alias("m")).groupBy("lang", "source", "m.measure", "m.bucket").agg(F.count("*").alias("n"))
 
 
-def fences(sketch: DataFrame, by: list[str], reach: int) -> DataFrame:
-    """Merged sketches of the groups ``by`` -> (by, measure, docs, low, high)."""
-    merged = sketch.groupBy(*by, "measure", "bucket").agg(F.sum("n").alias("n"))
+def quartiles(sketch: DataFrame, by: list[str]) -> DataFrame:
+    """Merged sketches of the groups ``by`` -> (by, measure, n, q1, q3); ``n`` counts what was sketched."""
+    held = sketch.filter((F.col("bucket") > 0) | ~F.col("measure").isin([m for m, (some, _) in MEASURES.items() if some]))
+    merged = held.groupBy(*by, "measure", "bucket").agg(F.sum("n").alias("n"))
     upto = Window.partitionBy(*by, "measure").orderBy("bucket")
     ranked = merged.withColumn("upto", F.sum("n").over(upto)).withColumn("docs", F.sum("n").over(Window.partitionBy(*by, "measure")))
-    at = {q: F.min(F.when(F.col("upto") * 4 >= F.col("docs") * k, _floor_of(F.col("bucket")))).alias(q) for q, k in (("q1", 1), ("q3", 3))}
-    slack = F.create_map(*[F.lit(x) for m, (s, _) in MEASURES.items() for x in (m, s)])
+    ends = zip(("q1", "q3"), (1, 3), _ends_of(F.col("bucket")))  # outward, so that equal values lie within
+    at = (F.min(F.when(F.col("upto") * 4 >= F.col("docs") * k, end)).alias(q) for q, k, end in ends)
+    return ranked.groupBy(*by, "measure").agg(F.max("docs").alias("n"), *at)
+
+
+def fences(sketch: DataFrame, reach: int = REACH, prior: int = PRIOR) -> DataFrame:
+    """(lang, source, measure, low, high, own, of_lang, of_all): a row for each pair and measure.
+
+    The last three add up to 1 and tell how much the pair's sketch, its language's and the corpus's decide.
+    Both fences are null where the corpus has nothing to sketch, and ``low`` where a measure has no lower one.
+    """
+    each = F.explode(F.array(*map(F.lit, MEASURES))).alias("measure")
+    grid = sketch.select("lang", "source").distinct().select("lang", "source", each)
+
+    def renamed(by: list[str], mark: str) -> DataFrame:
+        return quartiles(sketch, by).select(*by, "measure", *(F.col(c).cast("double").alias(f"{mark}_{c}") for c in ("n", "q1", "q3")))
+
+    pairs, langs, every = renamed(["lang", "source"], "p"), renamed(["lang"], "l"), renamed([], "e")
+    joined = grid.join(F.broadcast(every), "measure", "left").join(langs, ["lang", "measure"], "left").join(pairs, ["lang", "source", "measure"], "left")
+
+    def drawn(own: str, q: str, parent) -> F.Column:
+        n = F.coalesce(F.col(f"{own}_n"), F.lit(0.0))
+        return (n * F.coalesce(F.col(f"{own}_{q}"), F.lit(0.0)) + F.lit(float(prior)) * parent) / (n + F.lit(float(prior)))
+
+    for q in ("q1", "q3"):
+        joined = joined.withColumn(q, drawn("p", q, drawn("l", q, F.col(f"e_{q}"))))
+    share = lambda own: F.coalesce(F.col(f"{own}_n"), F.lit(0.0)) / (F.coalesce(F.col(f"{own}_n"), F.lit(0.0)) + prior)
+    wide = F.lit(float(reach)) * (F.col("q3") - F.col("q1"))
     lower = F.col("measure").isin([m for m, (_, low) in MEASURES.items() if low])
-    out = ranked.groupBy(*by, "measure").agg(F.max("docs").alias("docs"), *at.values())
-    wide = F.lit(reach) * F.greatest(F.col("q3") - F.col("q1"), slack[F.col("measure")].cast("long"))
-    return out.select(*by, "measure", "docs", F.when(lower, F.col("q1") - wide).alias("low"), (F.col("q3") + wide).alias("high"))
+    return joined.select(
+        "lang", "source", "measure", F.when(lower, F.col("q1") - wide).alias("low"), (F.col("q3") + wide).alias("high"),
+        share("p").alias("own"), ((1 - share("p")) * share("l")).alias("of_lang"), ((1 - share("p")) * (1 - share("l"))).alias("of_all"),
+    )
 
 
-def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", reach: int = 2, least: int = 200) -> DataFrame:
+def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", reach: int = REACH, prior: int = PRIOR) -> DataFrame:
     """A row per input row: id, the measures, base_failed, kept, and ``failed`` (the measures beyond their fences).
 
     Thresholds come from all documents that pass the base rules. A null language or source is a group of
@@ -123,15 +158,8 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     rows = measured(docs, id_col, text_col, lang_col, source_col)
     rows = rows.withColumn("lang", F.coalesce(F.concat(F.lit("="), "lang"), F.lit(""))).withColumn("source", F.coalesce(F.concat(F.lit("="), "source"), F.lit("")))
     rows = stage(rows, "quality-measures")
-    sketch = stage(sketches(rows.filter("NOT base_failed")), "quality-sketches")
-    pair, lang, every = fences(sketch, ["lang", "source"], reach), fences(sketch, ["lang"], reach), fences(sketch, [], reach)
-    fit = (
-        pair.select("lang", "source", "measure", "docs", F.struct("low", "high").alias("own"))
-        .join(lang.select("lang", "measure", F.col("docs").alias("lang_docs"), F.struct("low", "high").alias("of_lang")), ["lang", "measure"])
-        .join(every.select("measure", F.struct("low", "high").alias("of_all")), "measure")
-        .withColumn("fence", F.when(F.col("docs") >= least, F.col("own")).when(F.col("lang_docs") >= least, F.col("of_lang")).otherwise(F.col("of_all")))
-    )
-    table = stage(fit.groupBy("lang", "source").agg(*[F.max(F.when(F.col("measure") == m, F.col("fence"))).alias(f"f_{m}") for m in MEASURES]), "quality-fences")
+    fit = fences(stage(sketches(rows.filter("NOT base_failed")), "quality-sketches"), reach, prior)
+    table = stage(fit.groupBy("lang", "source").agg(*[F.max(F.when(F.col("measure") == m, F.struct("low", "high"))).alias(f"f_{m}") for m in MEASURES]), "quality-fences")
     joined = rows.join(table, ["lang", "source"], "left")
     beyond = [F.when(F.coalesce((F.col(m) > F.col(f"f_{m}.high")) | (F.col(m) < F.col(f"f_{m}.low")) if low else F.col(m) > F.col(f"f_{m}.high"), F.lit(False)), F.lit(m)) for m, (_, low) in MEASURES.items()]
     out = joined.withColumn("failed", F.concat_ws(",", *beyond))

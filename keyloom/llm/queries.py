@@ -77,6 +77,6 @@ def oracle_sql() -> dict[str, str]:
         "op1_source_mixing": MIX_SQL,
         "op2_license_scan": license_sql(license_scan.posting_rows(), license_scan.COMMON, anchor, license_scan.COVERAGE),
         "op4_warc": WARC_SQL,
-        "op7_quality_rules": quality_sql(quality.MEASURES),
+        "op7_quality_rules": quality_sql(quality.MEASURES, quality.REACH, quality.PRIOR),
         "op10_exact_dedup": exact_dedup.DEDUP_SQL,
     }

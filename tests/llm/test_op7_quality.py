@@ -55,14 +55,47 @@ def test_edges(spark):
 
 @pytest.mark.parametrize("value", [0, 1, 127, 128, 129, 255, 256, 1000, 123_456, 10**12])
 def test_sketch_error(spark, value):
-    b, low = spark.range(1).select(quality.bucket(F.lit(value).cast("long")).alias("b")).select("b", quality._floor_of(F.col("b")).alias("low")).first()
-    assert low <= value <= low * (1 + 1 / 64) + (value < 128)
+    low, high = spark.range(1).select(quality.bucket(F.lit(value).cast("long")).alias("b")).select(*quality._ends_of(F.col("b"))).first()
+    assert low <= value <= high <= low * (1 + 1 / 64)
 
 
 def test_sketches_merge(spark):
     rows = spark.range(5000).select((F.col("id") % 3).cast("string").alias("lang"), (F.col("id") % 5).cast("string").alias("source"), *[(F.col("id") % 1000).alias(m) for m in quality.MEASURES])
     s = quality.sketches(rows)
-    row = quality.fences(s, [], 2).filter("measure = 'symbols'").first()
-    q1, q3 = 249, 749
-    assert abs(row["high"] - (q3 + 2 * (q3 - q1))) <= 3 * q3 / 32
-    assert quality.fences(s, ["lang", "source"], 2).count() == 15 * len(quality.MEASURES)
+    row = quality.quartiles(s, []).filter("measure = 'marks'").first()
+    assert row["n"] == 4995 and 250 * 31 / 32 <= row["q1"] <= 250 and 750 <= row["q3"] <= 750 * 32 / 31
+    assert quality.quartiles(s, []).filter("measure = 'symbols'").first()["n"] == 4995
+    assert quality.quartiles(s, ["lang", "source"]).count() == quality.fences(s).count() == 15 * len(quality.MEASURES)
+
+
+def sketched(spark, sf):
+    rows = quality.measured(table(spark, sf, "documents")).filter("NOT base_failed").fillna("none", ["lang", "source"])
+    return quality.sketches(rows)
+
+
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_every_pair_has_fences_of_its_own(spark, sf):
+    got = quality.fences(sketched(spark, f"/root/testdata/{sf}")).cache()
+    marks = got.filter("measure = 'marks'")
+    assert marks.select("high").distinct().count() >= 0.9 * marks.count() > 70
+    by_level = {m["measure"]: (m["o"], m["l"], m["e"]) for m in got.groupBy("measure").agg(F.avg("own").alias("o"), F.avg("of_lang").alias("l"), F.avg("of_all").alias("e")).collect()}
+    print(sf, by_level)  # the share of the fences that each level decides
+    assert all(abs(sum(x) - 1) < 1e-9 for x in by_level.values())
+    assert by_level["marks"][0] > (0.5 if sf == "sf0.1" else 0.1)
+
+
+def test_a_pair_grows_away_from_its_parents(spark):
+    """No size at which a pair's own sketch starts to count: its fence moves with every document."""
+    at = []
+    for few in (1, 20, 199, 200, 2000):
+        mark = F.when(F.col("id") < few, 300).otherwise(30) + F.col("id") % 7
+        rows = spark.range(few + 4000).select(F.lit("en").alias("lang"), F.when(F.col("id") < few, "odd").otherwise("web").alias("source"), *[mark.cast("long").alias(m) for m in quality.MEASURES])
+        at.append(quality.fences(quality.sketches(rows)).filter("source = 'odd' AND measure = 'marks'").first()["high"])
+    assert at == sorted(at) and len(set(at)) == 5 and at[3] - at[2] < 1.5 and at[0] < 70 and at[-1] > 280
+
+
+def test_repeated_rows(spark):
+    text = " ".join(f"word{i}" for i in range(80))
+    df = spark.createDataFrame([(1, text, "en", "a")] * 3 + [(None, text, None, None)] * 2, "doc_id long, text string, lang string, source string")
+    got = quality.quality_rules(df).collect()
+    assert len(got) == 5 and all(r["kept"] and r["failed"] == "" for r in got)
