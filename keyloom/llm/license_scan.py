@@ -1,24 +1,25 @@
-"""License scans through a positional index of licence words. DataFrame functions only.
+"""License scans through a positional index of rare licence words. DataFrame functions only.
 
-The index has a posting (template, position) for every word of every licence template. A file's words
-are looked up in it; the words of high inverse document frequency are the licence words that count,
-the others only confirm. Postings are intersected by relative position: a file position less the
-template position is the same for every word of a copy. An alignment whose rare words weigh enough is a
-candidate, and it is accepted if the template's mandatory key phrase stands complete at its place.
+A template is the words of a licence notice, with a key phrase that must stand complete. The inverse document
+frequency of every template word is counted over all texts first. The index then has, for each template, the
+rarest words of its key phrase and their positions. A file's occurrences of these words are looked up, and
+the postings of a template's words are intersected by relative position: a file position less the template
+position is the same for all words of a copy. Where the words meet, the key phrase is verified word by
+word, and the template's words in place must carry enough of its weight. As a key phrase stands complete only where its
+rarest words stand, no place is lost, however common the other words are.
 
-Common words, of which prose is full, are looked up only in texts that hold an anchor of a licence.
+All of this is done within the row of a text: beyond counting the words nothing is shuffled.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage
 
 #: Fixed values of the contract: phrase and label.
 BASE_PHRASES = (("gnu general public license", "gpl"), ("apache license", "apache"), ("cc by", "cc-by"), ("mit license", "mit"))
-#: Licence notices: label, text, mandatory key phrase (which stands in the text). Fixed values.
+#: Licence notices that this method adds: label, text, mandatory key phrase (which stands in the text).
 TEMPLATES = (
     ("apache-2.0", "licensed under the apache license version 2 0", "apache license version 2 0"),
     ("mit-notice", "released under the mit license", "mit license"),
@@ -34,15 +35,10 @@ TEMPLATES = (
     ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", "permission to use copy modify and or distribute this software"),
     ("apache-grant", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis", "distributed on an as is basis"),
 )
-#: Words looked up only where an anchor stands. Fixed values.
-COMMON = (
-    "the this of to any a and is in or with without are that on for use by as an be met form source code copy free charge person work under unless required law agreed writing "
-    "following conditions terms subject files public general version v 0 2 3 nc sa cc purpose fee provided"
-).split()
-ANCHOR = r"(?i)licen[sc]e|(?:^|[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F])cc[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+by|hereby|redistribution|applicable"
-GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-#: The share of a template's rare weight that an alignment needs.
-COVERAGE = 0.6
+#: The share of a template's weight that a place needs, and the words of a key phrase that are looked up.
+COVERAGE, RARE = 0.6, 2
+WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def posting_rows() -> list[tuple]:
@@ -58,56 +54,69 @@ def posting_rows() -> list[tuple]:
     return rows
 
 
-def postings(spark: SparkSession) -> DataFrame:
-    """The index, of a size fixed by the templates."""
-    return spark.createDataFrame(posting_rows(), "template string, kind string, label string, word string, tpos int, key boolean")
-
-
-def word_hits(docs: DataFrame, index: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(row, id, n_words, pos, word): every index word of every text, and one row without a word per text.
-
-    A word is a run of ASCII letters, digits and anything beyond ASCII; ASCII capitals are lowered.
-    """
-    vocabulary = index.select("word").distinct().withColumn("common", F.col("word").isin(COMMON))
-    split = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).select("row", "id", F.rlike("text", F.lit(ANCHOR)).alias("anchor"), F.split("text", GAP).alias("w"))
-    lead = F.when(F.col("w")[0] == "", 1).otherwise(0)
-    tail = F.when((F.size("w") > 1) & (F.element_at("w", -1) == ""), 1).otherwise(0)
-    sized = split.select("row", "id", "anchor", lead.alias("lead"), (F.size("w") - lead - tail).cast("long").alias("n_words"), "w")
-    each = sized.select("row", "id", "anchor", "lead", "n_words", F.posexplode("w").alias("at", "raw"))
-    # A word with a letter beyond ASCII that lowers to an ASCII one is longer in bytes than the index word.
-    hit = (F.lower("raw") == F.col("word")) & (F.octet_length("raw") == F.octet_length("word")) & (F.col("anchor") | ~F.col("common"))
-    met = each.join(F.broadcast(vocabulary), hit, "left").filter(F.col("word").isNotNull() | (F.col("at") == 0))
-    return met.select("row", "id", "n_words", (F.col("at") - F.col("lead")).cast("long").alias("pos"), "word")
-
-
-def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", coverage: float = COVERAGE) -> DataFrame:
+def _words(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, w): the words of each text; ASCII capitals are lowered and no other letter is."""
+    text = F.translate(F.coalesce(F.col(text_col), F.lit("")), _UPPER, _LOWER)
+    return docs.select(F.col(id_col).alias("id"), F.regexp_extract_all(text, F.lit(WORD), 0).alias("w"))
+
+
+def _text(words) -> str:
+    return "array(" + ", ".join(f"'{w}'" for w in words) + ")"
+
+
+def word_weights(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> dict[str, float]:
+    """The inverse document frequency of every template word over all texts; as many rows come to the driver as the templates have words."""
+    vocabulary = sorted({r[3] for r in posting_rows()})
+    held = _words(docs, id_col, text_col).select(F.explode(F.array_union(F.array(F.lit("")), F.array_intersect(F.expr(_text(vocabulary)), "w"))).alias("word"))
+    # The empty word stands in every text and counts them.
+    seen = {r["word"]: r["df"] for r in held.groupBy("word").agg(F.count("*").alias("df")).collect()}
+    spark, n = docs.sparkSession, seen.get("", 0)
+    rows = spark.createDataFrame([(w, seen.get(w, 0)) for w in vocabulary], "word string, df long")
+    return {r["word"]: r["weight"] for r in rows.select("word", F.round(F.log((F.lit(n) + 1.0) / (F.col("df") + 1.0)), 6).alias("weight")).collect()}
+
+
+def index_of(weights: dict[str, float], rare: int = RARE) -> tuple[str, list[str]]:
+    """The index as a SQL array of templates, and the words that are looked up in it."""
+    templates, looked = {}, set()
+    for template, kind, label, word, tpos, key in posting_rows():
+        templates.setdefault((template, kind, label), []).append((word, tpos, key))
+    told = []
+    for (_, kind, label), words in templates.items():
+        first = {}
+        for w, at, key in words:
+            if key:
+                first.setdefault(w, at)
+        rarest = sorted(first, key=lambda w: (-weights[w], w))[:rare]
+        looked |= set(rarest)
+        lookups = "array(" + ", ".join(f"named_struct('word', '{w}', 'at', {first[w]})" for w in rarest) + ")"
+        own = "array(" + ", ".join(f"{weights[w]!r}D" for w, _, _ in words) + ")"
+        told.append(
+            f"named_struct('base', {str(kind == 'base').lower()}, 'label', '{label}', 'rare', {lookups}, 'from', {min(at for _, at, key in words if key)}, 'key', {_text([w for w, _, key in words if key])}, "
+            f"'words', {_text([w for w, _, _ in words])}, 'weights', {own}, 'weight', {sum(weights[w] for w, _, _ in words)!r}D)"
+        )
+    return f"array({', '.join(told)})", sorted(looked)
+
+
+def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", coverage: float = COVERAGE, rare: int = RARE) -> DataFrame:
     """A row per input row: id, n_words, n_base, first_word, last_word, base_labels, labels, score.
 
-    ``score`` is the largest share of a template's rare weight found in place, 0 without a label and 1 for a
-    base phrase. Null and empty texts have no words. Repeated rows come out repeated.
+    ``score`` is the largest share of a template's weight found in place, 0 without a label and 1 for a
+    base phrase. Null and empty texts have no words. Repeated rows come out repeated. Only the two named
+    columns are read. An empty table gives an empty result.
     """
-    spark = docs.sparkSession
-    index = postings(spark)
-    hits = stage(word_hits(docs, index, id_col, text_col), "license-hits")
-    found = hits.filter(F.col("word").isNotNull())
-    n_docs = F.lit(float(max(1, hits.select("row").filter("pos <= 0").distinct().count())))
-    # Inverse document frequency over all texts; words that stand in more than a fifth of them weigh nothing.
-    df = found.groupBy("word").agg(F.countDistinct("row").alias("df"))
-    weight = stage(df.select("word", F.when((F.col("df") * 5 < n_docs) & ~F.col("word").isin(COMMON), F.round(F.log(n_docs / F.col("df")) + 1, 6)).otherwise(0.0).alias("weight")), "license-idf")
-    weighed = index.join(F.broadcast(weight), "word", "left").withColumn("weight", F.coalesce("weight", F.when(F.col("word").isin(COMMON), 0.0).otherwise(1.0)))
-    full = weighed.groupBy("template").agg(F.sum("weight").alias("all_weight"), F.sum(F.col("key").cast("int")).alias("key_words"))
-    aligned = found.join(F.broadcast(weighed), "word").withColumn("start", F.col("pos") - F.col("tpos"))
-    each = aligned.groupBy("row", "template", "kind", "label", "start").agg(F.sum("weight").alias("weight"), F.sum(F.col("key").cast("int")).alias("keys"), F.min("tpos").alias("first_tpos"))
-    met = each.join(F.broadcast(full), "template").filter(F.col("keys") == F.col("key_words")).withColumn("share", F.when(F.col("all_weight") > 0, F.col("weight") / F.col("all_weight")).otherwise(1.0))
-    met = met.filter((F.col("kind") == "base") | (F.col("share") >= coverage))
-    base = F.col("kind") == "base"
-    per_row = met.groupBy("row").agg(
-        F.sum(base.cast("long")).alias("n_base"), F.min(F.when(base, F.col("start"))).alias("first_word"), F.max(F.when(base, F.col("start"))).alias("last_word"),
-        F.array_join(F.sort_array(F.collect_set(F.when(base, F.col("label")))), ",").alias("base_labels"), F.array_join(F.sort_array(F.collect_set("label")), ",").alias("labels"),
-        F.max(F.when(base, F.lit(1.0)).otherwise(F.round("share", 6))).alias("score"),
-    )
-    texts = hits.groupBy("row").agg(F.first("id").alias("id"), F.first("n_words").alias("n_words"))
-    return texts.join(per_row, "row", "left").select(
-        F.col("id").alias(id_col), "n_words", F.coalesce("n_base", F.lit(0).cast("long")).alias("n_base"), "first_word", "last_word",
-        F.coalesce("base_labels", F.lit("")).alias("base_labels"), F.coalesce("labels", F.lit("")).alias("labels"), F.least(F.lit(1.0), F.coalesce("score", F.lit(0.0))).alias("score"),
-    )
+    templates, looked = index_of(word_weights(docs, id_col, text_col), rare)
+    hits = _words(docs, id_col, text_col).select("id", "w", F.expr(f"filter(transform(w, (x, i) -> if(x IN ({', '.join(repr(w) for w in looked)}), i, -1)), i -> i >= 0)").alias("hits"))
+    # Where a template's looked-up words meet: the starts that all of them ask for.
+    starts = "transform(t.rare, r -> transform(filter(hits, p -> w[p] = r.word), p -> p - r.at))"
+    meet = f"aggregate({starts}, cast(null as array<int>), (a, b) -> if(a is null, b, array_intersect(a, b)))"
+    whole = f"filter({meet}, s -> s + t.from >= 0 and slice(w, s + t.from + 1, size(t.key)) = t.key)"
+    share = "if(t.base or t.weight = 0, 1D, round(aggregate(sequence(0, size(t.words) - 1), 0D, (a, i) -> a + if(get(w, s + i) <=> t.words[i], t.weights[i], 0D)) / t.weight, 6))"
+    places = f"flatten(transform({templates}, t -> transform({whole}, s -> named_struct('base', t.base, 'label', t.label, 'start', cast(s as bigint), 'share', {share}))))"
+    met = hits.select("id", F.size("w").cast("long").alias("n_words"), F.expr(f"if(size(hits) = 0, null, filter({places}, f -> f.base or f.share >= {coverage}D))").alias("met"))
+    base = "transform(filter(met, f -> f.base), f -> f.{})"
+    labels = "coalesce(array_join(sort_array(array_distinct({})), ','), '')"
+    return met.select(
+        F.col("id").alias(id_col), "n_words", F.expr("coalesce(size(filter(met, f -> f.base)), 0)").cast("long").alias("n_base"), F.expr(f"array_min({base.format('start')})").alias("first_word"),
+        F.expr(f"array_max({base.format('start')})").alias("last_word"), F.expr(labels.format(base.format("label"))).alias("base_labels"), F.expr(labels.format("transform(met, f -> f.label)")).alias("labels"),
+        F.expr("coalesce(array_max(transform(met, f -> f.share)), 0D)").alias("score"),
+    )

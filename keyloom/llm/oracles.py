@@ -100,29 +100,27 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 """
 
 
-def license_sql(rows: list[tuple], common: list[str], anchor: str, coverage: float) -> str:
+def license_sql(rows: list[tuple], coverage: float) -> str:
     """The licence index in SQL; ``rows`` are its postings (template, kind, label, word, position, key)."""
     values = ", ".join(f"('{t}', '{k}', '{x}', '{w}', {p}, {int(key)})" for t, k, x, w, p, key in rows)
-    words = ", ".join(f"'{w}'" for w in common)
     return rf"""
 WITH ix(template, kind, label, word, tpos, key) AS (VALUES {values}),
 d AS (
   SELECT row_number() OVER () AS rid, doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents
-), w AS (SELECT rid, doc_id, regexp_matches(text, '{anchor}') AS anchor, regexp_extract_all(text, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM d),
-u AS (SELECT rid, anchor, unnest(w) AS word, unnest(range(len(w))) AS pos FROM w),
-h AS (SELECT rid, word, pos FROM u WHERE word IN (SELECT word FROM ix) AND (anchor OR word NOT IN ({words}))),
+), w AS (SELECT rid, doc_id, regexp_extract_all(text, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM d),
+u AS (SELECT rid, unnest(w) AS word, unnest(range(len(w))) AS pos FROM w),
+h AS (SELECT rid, word, pos FROM u WHERE word IN (SELECT word FROM ix)),
 n AS (SELECT count(*)::DOUBLE AS n FROM d),
 f AS (SELECT word, count(DISTINCT rid) AS df FROM h GROUP BY word),
-i AS (SELECT word, CASE WHEN df * 5 < n AND word NOT IN ({words}) THEN round(ln(n / df) + 1, 6) ELSE 0 END AS weight FROM f, n),
-q AS (SELECT ix.*, coalesce(i.weight, CASE WHEN word IN ({words}) THEN 0.0 ELSE 1.0 END) AS weight FROM ix LEFT JOIN i USING (word)),
+q AS (SELECT ix.*, round(ln((n + 1.0::DOUBLE) / (coalesce(df, 0) + 1.0::DOUBLE)), 6) AS weight FROM ix LEFT JOIN f USING (word), n),
 t AS (SELECT template, sum(weight) AS all_weight, sum(key) AS key_words FROM q GROUP BY template),
 a AS (SELECT rid, template, kind, label, pos - tpos AS start, sum(weight) AS weight, sum(key) AS keys FROM h JOIN q USING (word) GROUP BY ALL),
-m AS (SELECT a.*, CASE WHEN all_weight > 0 THEN a.weight / all_weight ELSE 1.0 END AS share FROM a JOIN t USING (template) WHERE keys = key_words),
+m AS (SELECT a.*, CASE WHEN kind = 'base' OR all_weight = 0 THEN 1.0::DOUBLE ELSE round(a.weight / all_weight, 6) END AS share FROM a JOIN t USING (template) WHERE keys = key_words),
 o AS (
   SELECT rid, count(*) FILTER (kind = 'base') AS n_base, min(start) FILTER (kind = 'base') AS first_word, max(start) FILTER (kind = 'base') AS last_word,
     coalesce(array_to_string(list_sort(list(DISTINCT label) FILTER (kind = 'base')), ','), '') AS base_labels, array_to_string(list_sort(list(DISTINCT label)), ',') AS labels,
-    max(CASE WHEN kind = 'base' THEN 1.0 ELSE round(share, 6) END) AS score FROM m WHERE kind = 'base' OR share >= {coverage} GROUP BY rid
+    max(share) AS score FROM m WHERE kind = 'base' OR share >= {coverage} GROUP BY rid
 )
-SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, CAST(least(1.0, coalesce(score, 0)) AS DOUBLE) AS score
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, CAST(coalesce(score, 0) AS DOUBLE) AS score
 FROM w LEFT JOIN o USING (rid)
 """

@@ -72,10 +72,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    anchor = license_scan.ANCHOR.removeprefix("(?i)")
     return {
         "op1_source_mixing": MIX_SQL,
-        "op2_license_scan": license_sql(license_scan.posting_rows(), license_scan.COMMON, anchor, license_scan.COVERAGE),
+        "op2_license_scan": license_sql(license_scan.posting_rows(), license_scan.COVERAGE),
         "op4_warc": WARC_SQL,
         "op7_quality_rules": quality_sql(quality.MEASURES, quality.REACH, quality.PRIOR),
         "op10_exact_dedup": exact_dedup.DEDUP_SQL,

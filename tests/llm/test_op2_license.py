@@ -42,3 +42,39 @@ def test_small(spark):
     assert "apache-2.0" in by[9]["labels"] and by[9]["first_word"] == 60_003
     assert by[15]["labels"] == "" and all(set(filter(None, r["base_labels"].split(","))) <= set(r["labels"].split(",")) and 0 <= r["score"] <= 1 for r in got)
     assert license_scan.scan_licenses(df.limit(0)).count() == 0
+
+
+def method_labels(texts, weights):
+    """Labels by trying every place of every notice."""
+    out = []
+    for text in texts:
+        w, found = WORD.findall(text.lower()), {label for phrase, label in license_scan.BASE_PHRASES if f" {phrase} " in f" {' '.join(WORD.findall(text.lower()))} "}
+        for label, notice, key in license_scan.TEMPLATES:
+            t, k = notice.split(), key.split()
+            at = next(i for i in range(len(t)) if t[i : i + len(k)] == k)
+            for s in range(-at, len(w)):
+                if w[max(s + at, 0) : s + at + len(k)] == k and s + at >= 0:
+                    share = sum(weights[x] for i, x in enumerate(t) if 0 <= s + i < len(w) and w[s + i] == x) / sum(weights[x] for x in t)
+                    if round(share, 6) >= license_scan.COVERAGE:
+                        found.add(label)
+        out.append(",".join(sorted(found)))
+    return out
+
+
+def test_labels_of_the_method(spark):
+    isc = "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is granted"  # neither "hereby" nor "license"
+    texts = [isc, "the " * 50 + isc, isc.replace("copy", "clone"), "apache license version 2 0", "distributed on an as is basis", "redistribution and use in source and binary forms", "Mozilla Public License, v. 2.0", "licensed under the GNU Affero General Public License version 3"]
+    texts += [n for _, n, _ in license_scan.TEMPLATES] + [" ".join(n.split()[2:]) for _, n, _ in license_scan.TEMPLATES] + [f"x y {n} {n}" for _, n, _ in license_scan.TEMPLATES]
+    texts += ["of the and to in this use as is with"] * 30 + ["nothing here"] * 30
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["labels"] for r in license_scan.scan_licenses(df).collect()}
+    want = method_labels(texts, license_scan.word_weights(df))
+    assert [got[i] for i in range(len(texts))] == want
+    assert got[0] == got[1] == "isc" and got[2] == ""
+    assert {r["doc_id"]: r["labels"] for r in license_scan.scan_licenses(df, rare=1).collect()} == got  # how many words are looked up changes nothing
+
+
+def test_rarest_words_are_looked_up():
+    weights = {r[3]: 1.0 for r in license_scan.posting_rows()} | {"by": 0.1, "the": 0.0}
+    index, looked = license_scan.index_of(weights | {"cc": 9.0}, 1)
+    assert "cc" in looked and "by" not in looked and "the" not in looked
