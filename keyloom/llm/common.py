@@ -51,11 +51,35 @@ def _remove_staged() -> None:
             return
 
 
+def _file_system(spark: SparkSession, path: str):
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a staged path on whatever file system holds it."""
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    fs, at = _file_system(spark, path)
+    fs.delete(at, True)
+
+
+def read_text(spark: SparkSession, path: str) -> str | None:
+    """A small file's text; None without the file."""
+    fs, at = _file_system(spark, path)
+    if not fs.exists(at):
+        return None
+    stream = fs.open(at)
+    try:
+        return bytes(stream.readAllBytes()).decode()
+    finally:
+        stream.close()
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small file, which must not be there yet."""
+    fs, at = _file_system(spark, path)
+    out = fs.create(at, False)
+    out.write(bytearray(text.encode()))
+    out.close()
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:

@@ -1,5 +1,6 @@
 """Exact dedup against its SQL; the index over several batches."""
 
+import pytest
 from conftest import SF, normal
 
 from keyloom.llm import exact_dedup, queries
@@ -30,14 +31,40 @@ def test_edges(spark):
 
 def test_index_persists(spark):
     path = new_path(spark, "index")
-    first = exact_dedup.DigestIndex(spark, path, buckets=4)
-    assert exact_dedup.exact_duplicates(docs(spark, [(5, "a"), (6, "b")]), index=first).filter("kept").count() == 2
-    again = exact_dedup.DigestIndex(spark, path, buckets=4)
-    got = {r["doc_id"]: (r["keep_id"], r["kept"]) for r in exact_dedup.exact_duplicates(docs(spark, [(1, "a"), (7, "c"), (8, "c")]), index=again).collect()}
-    assert got == {1: (5, False), 7: (7, True), 8: (7, False)}
-    assert again.table().count() == 3
-    plan = again.table().select("digest").join(again.table().select("digest").hint("merge"), "digest")._jdf.queryExecution().executedPlan().toString()
-    assert "Exchange" not in plan  # bucketed by the join key: nothing is shuffled
+    with exact_dedup.DigestIndex(spark, path, buckets=4) as first:
+        assert exact_dedup.exact_duplicates(docs(spark, [(5, "a"), (6, "b")]), index=first).filter("kept").count() == 2
+    with pytest.raises(ValueError):
+        exact_dedup.DigestIndex(spark, path, buckets=8)
+    with exact_dedup.DigestIndex(spark, path) as again:
+        assert again.buckets == 4
+        got = {r["doc_id"]: (r["keep_id"], r["kept"], r["group_size"]) for r in exact_dedup.exact_duplicates(docs(spark, [(1, "a"), (7, "c"), (8, "c"), (5, "a")]), index=again).collect()}
+        assert got == {1: (5, False, 3), 5: (5, False, 3), 7: (7, True, 2), 8: (7, False, 2)}
+        more = {r["doc_id"]: (r["keep_id"], r["group_size"]) for r in exact_dedup.exact_duplicates(docs(spark, [(2, "b"), (9, "a")]), index=again).collect()}
+        assert more == {2: (6, 2), 9: (5, 4)}
+        assert again.merged().count() == 3
+        for lookup in (again.table().select("digest").join(again.table().select("digest").hint("merge"), "digest"), again.merged()):
+            assert "Exchange" not in lookup._jdf.queryExecution().executedPlan().toString()  # bucketed by the digest: nothing is shuffled
+    assert not [t for t in spark.catalog.listTables() if t.name in (first.name, again.name)]
+
+
+def test_later_batches_meet_earlier_ones(spark, monkeypatch):
+    rows = [(i, f"text {i % 7}") for i in range(40)] + [(None, "text 3"), (None, "lone"), (3, "text 3")]
+    want = sorted(map(tuple, exact_dedup.exact_duplicates(docs(spark, rows), batches=1).collect()), key=str)
+    seen, add = [], exact_dedup.DigestIndex.add
+
+    def counted(self, part, batch=None):
+        before = self.table().filter("batch IS NOT NULL").count()
+        out = add(self, part, batch)
+        seen.append((part.count(), self.table().filter("batch IS NOT NULL").count() - before))
+        return out
+
+    monkeypatch.setattr(exact_dedup.DigestIndex, "add", counted)
+    for batches in (2, 5):
+        seen.clear()
+        got = exact_dedup.exact_duplicates(docs(spark, rows), batches=batches)
+        assert sorted(map(tuple, got.collect()), key=str) == want
+        assert len(seen) == batches and sum(n for n, _ in seen) == len(rows)
+        assert seen[0][1] == 7 and [n for _, n in seen[1:-1]] == [0] * (batches - 2) and seen[-1][1] == 1  # what was known is not appended again
 
 
 def test_buckets_grow_with_the_rows():
