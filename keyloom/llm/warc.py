@@ -1,8 +1,13 @@
 """WARC archives: one gzip member per record, written by tasks, read back by a sequential reader.
 
-Each task writes its records to archives of its own in the shared folder, under a temporary name first,
-so that a repeated task replaces its files by the same ones. The reader takes an archive in slices,
-inflates one member at a time, frames each record by its Content-Length and verifies its digests.
+Each attempt of a task writes archives under names of its own in the shared folder and returns the names.
+They are staged by Spark, which keeps the names of the one attempt that counts, and exactly these archives are
+read back: what a lost, repeated or speculative attempt left behind is never read. The reader takes an
+archive in slices, inflates one member at a time, frames each record by its Content-Length and verifies its
+digests; a revisit's digest is held against that of the response it names.
+
+The folder is resolved on the driver by Hadoop's rules, so a path without a scheme means the same file system
+to Spark and to the tasks.
 """
 
 from __future__ import annotations
@@ -20,11 +25,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh, new_path
+from .common import fresh, new_path, stage
 
 #: An archive is closed when it holds this many compressed bytes.
 ARCHIVE_BYTES = 16 << 20
 SLICE = 1 << 16
+#: Payloads that more pages have than this are looked up by a broadcast, of so many payloads at most.
+HOT, BROADCAST = 1_000, 1_000_000
 _HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n"
 _PAGE = "urn:page:"
 
@@ -52,18 +59,21 @@ def member(data: bytes, level: int = 6) -> bytes:
     return deflate.compress(data) + deflate.flush()
 
 
-def read_members(archive: bytes) -> Iterator[bytes]:
-    """The inflated members of an archive in turn; a cut-off or damaged one raises."""
-    inflate, out = zlib.decompressobj(31), []
-    for at in range(0, len(archive), SLICE):
-        data = archive[at : at + SLICE]
-        while data:
-            out.append(inflate.decompress(data))
-            data = inflate.unused_data
+def slices(archive: bytes) -> Iterator[bytes]:
+    return (archive[at : at + SLICE] for at in range(0, len(archive), SLICE))
+
+
+def read_members(data: Iterator[bytes]) -> Iterator[bytes]:
+    """The inflated members of an archive that comes in slices; a cut-off or damaged one raises."""
+    inflate, out, began = zlib.decompressobj(31), [], False
+    for part in data:
+        while part:
+            out.append(inflate.decompress(part))
+            part, began = inflate.unused_data, True
             if inflate.eof:
                 yield b"".join(out)
-                inflate, out = zlib.decompressobj(31), []
-    if out:
+                inflate, out, began = zlib.decompressobj(31), [], False
+    if began:
         raise ValueError("the archive ends within a record")
 
 
@@ -88,51 +98,76 @@ def parse(data: bytes) -> dict:
     return fields | {"payload_bytes": size, "payload_digest": digest, "payload": payload}
 
 
-def _local(folder: str) -> str | None:
-    return folder.removeprefix("file://") if folder.startswith(("file:", "/")) else None
+def resolved(spark: SparkSession, folder: str) -> str:
+    """``folder`` with the scheme that Hadoop gives it. Raises where tasks could not open it."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    uri = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(at).toUri().toString()
+    _store(uri)
+    return uri
+
+
+def _store(uri: str):
+    """(file system, path) of a resolved folder or archive; (None, path) on a mounted one."""
+    if uri.startswith("file:"):
+        return None, "/" + uri.removeprefix("file:").lstrip("/")
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(uri)
 
 
 def _put(folder: str, name: str, parts: list[bytes]) -> None:
-    """Write an archive whole: to a name of its own, then renamed."""
-    own = f".{name}.{uuid.uuid4().hex}"
-    if at := _local(folder):
+    store, at = _store(folder)
+    if store is None:
         os.makedirs(at, exist_ok=True)
-        with open(f"{at}/{own}", "wb") as out:
+        with open(f"{at}/{name}", "xb") as out:
             out.writelines(parts)
-        os.replace(f"{at}/{own}", f"{at}/{name}")
         return
-    from pyarrow import fs
-
-    store, at = fs.FileSystem.from_uri(folder)
     store.create_dir(at, recursive=True)
-    with store.open_output_stream(f"{at}/{own}") as out:
+    with store.open_output_stream(f"{at}/{name}") as out:
         for p in parts:
             out.write(p)
-    store.move(f"{at}/{own}", f"{at}/{name}")
+
+
+def _get(folder: str, name: str) -> Iterator[bytes]:
+    """An archive in slices."""
+    store, at = _store(folder)
+    with open(f"{at}/{name}", "rb") if store is None else store.open_input_stream(f"{at}/{name}") as data:
+        while part := data.read(SLICE):
+            yield part
 
 
 def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least: int = 0) -> DataFrame:
-    """Write a record per row to ``folder`` and return (archive, records), a row per archive; its action writes.
+    """Write a record per row to ``folder`` (resolved) and return (archive, records), a row per archive.
 
-    Of rows with equal payloads of at least ``least`` bytes those of the smallest id are responses and
-    the others revisit it; null ids revisit unless no equal payload has an id. A null payload is empty.
+    Its action writes, once for each run: stage it, and read the archives it names. Of rows with equal payloads
+    of at least ``least`` bytes those of the smallest id are responses and the others revisit it; null ids
+    revisit unless no equal payload has an id. A null payload is empty.
     """
-    key, low, n = fresh(pages.select(id_col, url_col, payload_col), "digest", "low", "n")
+    key, low, n, hot = fresh(pages.select(id_col, url_col, payload_col), "digest", "low", "n", "hot")
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.coalesce(F.col(payload_col), F.lit("")).cast("binary").alias("payload"))
     rows = rows.withColumn(key, F.when(F.octet_length("payload") >= least, F.sha1("payload")))
-    # Only payloads that stand more than once are joined back; Spark broadcasts them if they are few enough.
-    groups = rows.select("id", key).filter(F.col(key).isNotNull()).groupBy(key).agg(F.min("id").alias(low), F.count("*").alias(n)).filter(F.col(n) > 1).drop(n)
-    marked = rows.join(groups, key, "left").select("id", "url", "payload", F.col(low).alias("refers_to"), (F.col(low).isNotNull() & ~F.col("id").eqNullSafe(F.col(low))).alias("revisit"))
+    # Only payloads that stand more than once are joined back.
+    groups = stage(rows.select("id", key).filter(F.col(key).isNotNull()).groupBy(key).agg(F.min("id").alias(low), F.count("*").alias(n)).filter(F.col(n) > 1), "warc-groups")
+    often = groups.filter(F.col(n) > HOT).select(F.col(key), F.col(low).alias(hot), F.lit(True).alias(n))
+    if often.count() <= BROADCAST:  # there are at most a thousandth as many as pages
+        rows = rows.join(F.broadcast(often), key, "left")
+        groups = groups.filter(F.col(n) <= HOT)
+    else:
+        rows = rows.withColumn(hot, F.lit(None)).withColumn(n, F.lit(None))
+    # Rows that have their answer, or ask for none, are dealt by their id and do not meet in one task.
+    aside = F.concat(F.lit("-"), F.xxhash64("id", "url").cast("string"))
+    rows = rows.withColumn(key, F.when(F.col(n).isNull() & F.col(key).isNotNull(), F.col(key)).otherwise(aside)).drop(n)
+    marked = rows.join(groups.select(key, low), key, "left").withColumn(low, F.coalesce(low, hot))
+    marked = marked.select("id", "url", "payload", F.col(low).alias("refers_to"), (F.col(low).isNotNull() & ~F.col("id").eqNullSafe(F.col(low))).alias("revisit"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task, k, held, size, count = TaskContext.get().partitionId(), 0, [], 0, 0
+        own, k, held, size, count = f"part-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}", 0, [], 0, 0
         names, counts = [], []
 
         def close():
             nonlocal k, held, size, count
-            name = f"part-{task:06d}-{k:04d}.warc.gz"
-            _put(folder, name, held)
-            names.append(name)
+            names.append(f"{own}-{k:04d}.warc.gz")
+            _put(folder, names[-1], held)
             counts.append(count)
             k, held, size, count = k + 1, [], 0, 0
 
@@ -149,17 +184,17 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
     return marked.mapInArrow(run, "archive string, records long")
 
 
-def read_archives(spark: SparkSession, folder: str, id_type: str = "bigint") -> DataFrame:
-    """Every record of the archives in ``folder``: page_id, url, payload_bytes, payload_digest, record_type, refers_to, payload (null for a revisit)."""
+def read_archives(archives: DataFrame, folder: str, id_type: str = "bigint") -> DataFrame:
+    """Every record of the ``archives`` (archive: names in the resolved ``folder``): page_id, url, payload_bytes, payload_digest, record_type, refers_to, payload (null for a revisit)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def page(field: str | None):
             return (field or "").strip("<>").removeprefix(_PAGE) or None
 
         for b in batches:
-            for content in b.column(0):
+            for name in b.column(0).to_pylist():
                 out, held = [], 0
-                for data in read_members(content.as_py()):
+                for data in read_members(_get(folder, name)):
                     f = parse(data)
                     response = f["warc-type"] == "response"
                     out.append((page(f["warc-record-id"]), f["warc-target-uri"], f["payload_bytes"], f["payload_digest"], f["warc-type"], page(f.get("warc-refers-to")), f["payload"] if response else None))
@@ -169,23 +204,37 @@ def read_archives(spark: SparkSession, folder: str, id_type: str = "bigint") ->
                         out, held = [], 0
                 yield _batch(out)
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").load(folder).select("content")
-    got = files.mapInArrow(run, "page_id string, url string, payload_bytes long, payload_digest string, record_type string, refers_to string, payload binary")
+    got = archives.select("archive").mapInArrow(run, "page_id string, url string, payload_bytes long, payload_digest string, record_type string, refers_to string, payload binary")
     return got.withColumn("page_id", F.col("page_id").cast(id_type)).withColumn("refers_to", F.col("refers_to").cast(id_type))
 
 
+def list_archives(spark: SparkSession, folder: str) -> DataFrame:
+    """(archive): the names of all archives in a folder, for those that this program did not write."""
+    return spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").load(folder).select(F.substring_index("path", "/", -1).alias("archive"))
+
+
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
     kinds = (("page_id", pa.string()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.string()), ("payload", pa.binary()))
     return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, (_, t) in enumerate(kinds)], names=[n for n, _ in kinds])
 
 
+def unmatched_revisits(records: DataFrame) -> DataFrame:
+    """Revisits whose response is not there with the same digest and size; repeats are told once."""
+    named = ["refers_to", "payload_digest", "payload_bytes"]
+    asked = records.filter("record_type = 'revisit' AND refers_to IS NOT NULL").select(*named).distinct()
+    return asked.join(records.filter("record_type = 'response'").select(F.col("page_id").alias("refers_to"), *named[1:]), named, "left_anti")
+
+
 def round_trip(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least: int = 0) -> DataFrame:
     """Write ``pages`` to archives in the shared folder and read them back, a row per page. An empty table gives none."""
     spark = pages.sparkSession
-    folder = new_path(spark, "warc")
-    written = write_archives(pages, folder, id_col, url_col, payload_col, least).agg(F.sum("records")).first()[0]
+    folder = resolved(spark, new_path(spark, "warc"))
     kind = pages.schema[id_col].dataType.simpleString()
-    if not written:
-        return spark.createDataFrame([], f"page_id {kind}, payload_bytes long, payload_digest string, record_type string, refers_to {kind}")
-    return read_archives(spark, folder, kind).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
-
+    # Staged, so that the archives are written once; dealt one by one, as an archive is a task's work.
+    written = stage(write_archives(pages, folder, id_col, url_col, payload_col, least), "warc-names")
+    n = written.count()
+    records = read_archives(written.repartition(max(1, n)), folder, kind).drop("payload", "url")
+    records = stage(records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"), "warc-records")
+    if not unmatched_revisits(records).isEmpty():
+        raise ValueError("a revisit's payload digest is not that of its response")
+    return records
