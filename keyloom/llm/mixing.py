@@ -108,19 +108,24 @@ def mix(
     tokens = F.col(tokens_col).cast("long") if tokens_col else token_count(F.col(text_col))
     name = F.coalesce(F.concat(F.lit("="), F.col(source_col).cast("string")), F.lit("null"))  # null apart from any name
     sized = docs.withColumn(src, name).withColumn(tok, F.coalesce(tokens, F.lit(0)))
-    plan = source_plan(sized.groupBy(F.col(src).alias("source")).agg(F.sum(tok).alias("tokens")), entropy, max_epochs, budget, block_tokens)
-    per_source = plan.select(F.col("source").alias(src), F.col("blocks").alias(count))
     key = F.coalesce(F.col(id_col).cast("string"), F.lit("null"))
-    dealt = sized.join(per_source, src).withColumn(order, F.md5(F.concat_ws("|", F.lit(str(seed)), key))).withColumn(block, _unit(F.lit(seed), key, F.lit("block")) % F.col(count))
+    counts = sized.select(src, tok, key.alias(order))
+    counts = counts if tokens_col else stage(counts, "mixing-counts")  # texts are not counted again for the blocks
+    plan = source_plan(counts.groupBy(F.col(src).alias("source")).agg(F.sum(tok).alias("tokens")), entropy, max_epochs, budget, block_tokens)
+    per_source = plan.select(F.col("source").alias(src), F.col("blocks").alias(count))
+    in_block = lambda k: _unit(F.lit(seed), k, F.lit("block")) % F.col(count)
+    dealt = sized.join(per_source, src).withColumn(order, F.md5(F.concat_ws("|", F.lit(str(seed)), key))).withColumn(block, in_block(key))
     # Blocks: their tokens, and for each epoch where they start in the source's permutation.
-    blocks = dealt.groupBy(F.col(src).alias("source"), F.col(block).alias("block")).agg(F.sum(tok).alias("held"))
+    blocks = counts.join(per_source, src).groupBy(F.col(src).alias("source"), in_block(F.col(order)).alias("block")).agg(F.sum(tok).alias("held"))
     times = F.when(F.col("tokens") > 0, F.ceil(F.col("budget") / F.col("tokens"))).otherwise(1 if budget is None else 0)
     epochs = plan.filter(times >= 1).select("source", "tokens", "budget", "weight", F.explode(F.sequence(F.lit(0).cast("long"), times.cast("long") - 1)).alias("epoch"))
     turn = Window.partitionBy("source", "epoch").orderBy(_unit(F.lit(seed), F.col("epoch"), F.col("source"), F.col("block")), "block").rowsBetween(Window.unboundedPreceding, -1)
     runs = epochs.join(blocks, "source").withColumn("base", F.col("epoch") * F.col("tokens") + F.coalesce(F.sum("held").over(turn), F.lit(0)))
-    runs = stage(runs.filter("base <= budget or tokens = 0").groupBy("source", "block").agg(F.collect_list(F.struct("epoch", "base", "budget", "weight", "tokens")).alias("reads")), "mixing-blocks")
+    runs = stage(runs.filter("base <= budget or tokens = 0").select("source", "block", F.struct("epoch", "base", "budget", "weight", "tokens").alias("read")), "mixing-blocks")
     within = Window.partitionBy(src, block).orderBy(order, key, tok).rowsBetween(Window.unboundedPreceding, -1)
     placed = dealt.withColumn(before, F.coalesce(F.sum(tok).over(within), F.lit(0)))
-    reads = runs.select(F.col("source").alias(src), F.col("block").alias(block), F.col("reads").alias(base))
-    out = placed.join(reads, [src, block]).withColumn(base, F.explode(F.filter(base, lambda r: (r["base"] + F.col(before) < r["budget"]) | ((r["tokens"] == 0) | ((F.col(tok) == 0) & (r["base"] + F.col(before) <= r["budget"]))))))
+    reads = runs.select(F.col("source").alias(src), F.col("block").alias(block), F.col("read").alias(base))
+    at = F.col(f"{base}.base") + F.col(before)
+    taken = (at < F.col(f"{base}.budget")) | (F.col(f"{base}.tokens") == 0) | ((F.col(tok) == 0) & (at <= F.col(f"{base}.budget")))
+    out = placed.join(reads, [src, block]).filter(taken)
     return out.select(*docs.columns, F.col(tok).alias("mix_tokens"), F.col(f"{base}.epoch").alias("mix_epoch"), F.col(block).alias("mix_block"), (F.col(f"{base}.base") + F.col(before)).alias("mix_start"), F.round(f"{base}.weight", 9).alias("mix_weight"))

@@ -32,7 +32,7 @@ r AS (
 )
 SELECT y.doc_id, y.source, y.tokens::BIGINT AS tokens, z.epoch::BIGINT AS epoch, y.block, (z.base + y.before)::BIGINT AS start, round(z.weight, 9) AS weight
 FROM y JOIN z ON y.s = z.s AND y.block = z.block
-WHERE (z.base < z.budget OR z.tokens = 0) AND (z.base + y.before < z.budget OR z.tokens = 0 OR (y.tokens = 0 AND z.base + y.before <= z.budget))
+WHERE (z.base <= z.budget OR z.tokens = 0) AND (z.base + y.before < z.budget OR z.tokens = 0 OR (y.tokens = 0 AND z.base + y.before <= z.budget))
 """
 
 _ALPHABET_32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
