@@ -91,16 +91,20 @@ class LanguageModel:
         return mix[0][0], min(1.0, mix[0][1]), mix
 
 
-def train(rows: DataFrame, lang_col: str = "lang", text_col: str = "text", max_rows: int = 40_000, seed: int = 5, key_col: str = "doc_id") -> LanguageModel:
-    """Learn from labelled ``rows``; of more than ``max_rows`` a hashed sample of about so many.
+def train(rows: DataFrame, lang_col: str = "lang", text_col: str = "text", max_rows: int = 10_000, seed: int = 5, key_col: str = "doc_id", most_languages: int = 500) -> LanguageModel:
+    """Learn from labelled ``rows``; of a language with more than ``max_rows`` a hashed sample of about so many.
 
-    Null languages and texts teach nothing. The counts that come to the driver are as many as the
-    languages times ``BUCKETS``.
+    The sample is drawn language by language, so that a rare one is learned from all its rows however large the
+    table. Null languages and texts teach nothing. The counts that come to the driver are as many as the
+    languages times ``BUCKETS``; more than ``most_languages`` raise, as then the column holds something else.
     """
-    rows = rows.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    n = rows.select(lang_col).count()
-    if n > max_rows:
-        rows = rows.filter(F.pmod(F.xxhash64(F.lit(seed), F.col(key_col)), F.lit(1 << 30)) < int(max_rows / n * (1 << 30)))
+    rows = rows.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"), F.col(key_col).alias("key"))
+    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).limit(most_languages + 1).collect()}
+    if len(sizes) > most_languages:
+        raise ValueError(f"{lang_col} has more than {most_languages} values")
+    if large := {lang: int(max_rows / n * (1 << 30)) for lang, n in sizes.items() if n > max_rows}:
+        share = F.create_map(*[F.lit(x) for item in large.items() for x in item])
+        rows = rows.filter(F.pmod(F.xxhash64(F.lit(seed), "key", "text"), F.lit(1 << 30)) < F.coalesce(F.try_element_at(share, F.col("lang")), F.lit(1 << 30)))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, np.ndarray] = {}
@@ -112,12 +116,11 @@ def train(rows: DataFrame, lang_col: str = "lang", text_col: str = "text", max_r
             at = np.flatnonzero(k)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int64()), pa.array(k[at], pa.int64())], names=["lang", "bucket", "n"])
 
-    got = rows.select(F.col(lang_col).cast("string"), text_col).mapInArrow(count, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).collect()
-    languages = sorted({r["lang"] for r in got})
+    got = rows.select("lang", "text").mapInArrow(count, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
+    languages = sorted(set(got["lang"].to_pylist()))
     counts = np.zeros((len(languages), BUCKETS))
-    place = {x: k for k, x in enumerate(languages)}
-    for r in got:
-        counts[place[r["lang"]], r["bucket"]] = r["n"]
+    place = np.array([languages.index(x) for x in got["lang"].to_pylist()], np.int64)
+    counts[place, got["bucket"].to_numpy()] = got["n"].to_numpy()
     return LanguageModel(languages, counts)
 
 
@@ -145,7 +148,7 @@ def held_out(id_col: str = "doc_id") -> F.Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def learn_and_identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_rows: int = 40_000) -> DataFrame:
+def learn_and_identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_rows: int = 10_000) -> DataFrame:
     """id, held_out, lang_pred, score, lang_mix of every document; learned only from those not held out."""
     model = train(docs.filter(~held_out(id_col)), lang_col, text_col, max_rows, key_col=id_col)
     rows = docs.select(F.col(id_col).alias("doc_id"), held_out(id_col).alias("held_out"), F.col(text_col).alias("text"))
