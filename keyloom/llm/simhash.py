@@ -4,10 +4,13 @@ A 64-bit fingerprint is cut into a ring of four 16-bit segments. If two fingerpr
 ``t`` = 3 bits, some segment starts a chain whose every prefix of ``l`` consecutive segments differs in
 at most ``l * t / 4`` bits: 0 bits in the first segment, 1 in the first two, 2 in the first three.
 So a pair is found by indexing (segment, next segment) exactly and probing it with the next segment
-as it is and with each single bit flipped; the remaining prefixes prune before the full distance.
+as it is and with each single bit flipped. In a bucket the prefix of three prunes before the full distance.
+
+Buckets of more than ``hot`` fingerprints are opened one segment further: the key then fixes 48 of 64 bits and
+the probes keep to the budgets of all prefixes. Of such a bucket a task holds the indexed fingerprints, which
+are at most the 65,536 values of the last segment, and looks up in them, for each row that passes, the values
+within three bits of its last segment. So the work of a bucket grows with its rows and not with their square.
 
-Bucket of more than ``hot`` fingerprints are opened one segment further (48 of 64 bits are then fixed
-by the key), which bounds any bucket by the 65,536 values of the last segment, whatever the input.
 Only distinct fingerprints are linked: copies are represented by their smallest id. A bucket gives a
 spanning forest of its links and never all its pairs.
 """
@@ -95,14 +98,25 @@ def _ring_rows(fps: DataFrame, chain: int) -> DataFrame:
     return rings.select("fp", F.col("r.ring").alias("ring"), F.col("r.low").alias("low"), F.explode(masks).alias("mask")).select("fp", "ring", F.expr("low ^ mask").alias("key"), (F.col("mask") == 0).alias("own"))
 
 
-def _popcount(x: np.ndarray) -> np.ndarray:
-    return np.bitwise_count(x)
+def _turned(fps: np.ndarray, ring: int) -> np.ndarray:
+    """``_rotated`` for arrays, unsigned."""
+    x, k = fps.view(np.uint64), np.uint64(ring * BITS)
+    return x if not ring else (x >> k) | (x << (np.uint64(64) - k))
+
 
+_THREE = np.uint64((1 << 3 * BITS) - 1)
 
-def _forest(own: np.ndarray, probes: np.ndarray, distance: int) -> list[tuple[int, int]]:
+
+def _near(x: np.ndarray, distance: int) -> np.ndarray:
+    """Where differences of turned fingerprints keep to the budget of three segments, and then to that of all."""
+    out = np.bitwise_count(x & _THREE) <= 3 * distance // SEGMENTS
+    out[out] = np.bitwise_count(x[out]) <= distance
+    return out
+
+
+def _forest(own: np.ndarray, probes: np.ndarray, ring: int, distance: int) -> list[tuple[int, int]]:
     """Links between a bucket's index and probe rows that join what was apart (union-find over the bucket)."""
     everyone, at = np.unique(np.concatenate([own, probes]), return_inverse=True)
-    at_own = at[: len(own)]
     parent = np.arange(len(everyone))
     found: list[tuple[int, int]] = []
 
@@ -112,9 +126,9 @@ def _forest(own: np.ndarray, probes: np.ndarray, distance: int) -> list[tuple[in
             x = int(parent[x])
         return x
 
-    alive = everyone.view(np.uint64)
-    for i in at_own:
-        near = np.flatnonzero(_popcount(alive ^ alive[i]) <= distance)
+    turned = _turned(everyone, ring)
+    for i in at[: len(own)]:
+        near = np.flatnonzero(_near(turned ^ turned[i], distance))
         if len(near) < 2:
             continue
         mine = root(int(i))
@@ -127,6 +141,11 @@ def _forest(own: np.ndarray, probes: np.ndarray, distance: int) -> list[tuple[in
     return found
 
 
+def _told(found: list[tuple[int, int]]) -> pa.RecordBatch:
+    u, v = zip(*found) if found else ((), ())
+    return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+
+
 def _bucket_links(rows: DataFrame, distance: int) -> DataFrame:
     """``rows`` (fp, ring, key, own) in buckets (ring, key) -> links (u, v)."""
 
@@ -143,27 +162,100 @@ def _bucket_links(rows: DataFrame, distance: int) -> DataFrame:
             last = int(edge[-1]) if len(edge) else 0
             held = [x[last:] for x in part]
             if last:
-                yield links(fp[:last], own[:last], np.concatenate([[0], edge[:-1]]), edge)
+                yield links(fp[:last], ring[:last], own[:last], np.concatenate([[0], edge[:-1]]), edge)
         if held is not None and len(held[0]):
-            yield links(held[0], held[3], np.array([0]), np.array([len(held[0])]))
+            yield links(held[0], held[1], held[3], np.array([0]), np.array([len(held[0])]))
 
-    def links(fp, own, begin, end) -> pa.RecordBatch:
-        many = np.flatnonzero(end - begin > 1)
-        with_own = np.add.reduceat(own.astype(np.int64), begin)
+    def links(fp, ring, own, begin, end) -> pa.RecordBatch:
+        size, with_own = end - begin, np.add.reduceat(own.astype(np.int64), begin)
         out: list[tuple[int, int]] = []
-        for k in many[with_own[many] > 0]:
+        two = begin[(size == 2) & (with_own > 0)]  # most buckets: one pair
+        for r in range(SEGMENTS):
+            at = two[(ring[two] == r) & (fp[two] != fp[two + 1])]
+            at = at[_near(_turned(fp[at], r) ^ _turned(fp[at + 1], r), distance)]
+            out += zip(fp[at].tolist(), fp[at + 1].tolist())
+        for k in np.flatnonzero((size > 2) & (with_own > 0)):
             f, o = fp[begin[k] : end[k]], own[begin[k] : end[k]]
-            if len(f) == 2:  # most buckets: one pair
-                if f[0] != f[1] and (int(f[0] ^ f[1]) & 0xFFFFFFFFFFFFFFFF).bit_count() <= distance:
-                    out.append((int(f[0]), int(f[1])))
-            else:
-                out += _forest(f[o], f[~o], distance)
-        u, v = zip(*out) if out else ((), ())
-        return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+            out += _forest(f[o], f[~o], int(ring[begin[k]]), distance)
+        return _told(out)
 
     return rows.select("fp", "ring", "key", "own").repartition("ring", "key").sortWithinPartitions("ring", "key").mapInArrow(run, "u long, v long")
 
 
+class _Opened:
+    """An opened bucket: its indexed fingerprints by the value of their last segment."""
+
+    def __init__(self, ring: int, distance: int):
+        self.ring, self.distance = ring, distance
+        self.at = np.full(1 << BITS, -1)  # of a value the place of its fingerprint
+        self.own = np.zeros(0, np.int64)
+        self.parent: list[int] = []
+        self.found: list[tuple[int, int]] = []
+
+    def _root(self, x: int) -> int:
+        while self.parent[x] != x:
+            self.parent[x] = self.parent[self.parent[x]]
+            x = self.parent[x]
+        return x
+
+    def _last(self, fps: np.ndarray) -> np.ndarray:
+        return (_turned(fps, self.ring) >> np.uint64(3 * BITS)).astype(np.int64)
+
+    def index(self, fps: np.ndarray) -> None:
+        """Further indexed fingerprints: each is linked with those before it and among them."""
+        self.at[self._last(fps)] = np.arange(len(self.own), len(self.own) + len(fps))
+        self.own = np.concatenate([self.own, fps])
+        self.parent += range(len(self.parent), len(self.own))
+        self.probe(fps)
+
+    def probe(self, fps: np.ndarray) -> None:
+        last, first = self._last(fps), np.full(len(fps), -1)
+        for mask in _LAST_MASKS:
+            place = self.at[last ^ mask]
+            hit = np.flatnonzero(place >= 0)
+            x = (fps[hit] ^ self.own[place[hit]]).view(np.uint64)
+            hit = hit[(x != 0) & (np.bitwise_count(x) <= self.distance)]
+            for i, k in zip(hit.tolist(), place[hit].tolist()):
+                if first[i] < 0:  # one link ties a row to the bucket, further ones tie the bucket's fingerprints
+                    first[i] = k
+                    self.found.append((int(fps[i]), int(self.own[k])))
+                elif (a := self._root(int(first[i]))) != (b := self._root(k)):
+                    self.parent[b] = a
+                    self.found.append((int(fps[i]), int(self.own[k])))
+
+
+#: Changes of a last segment within the distance.
+_LAST_MASKS = [sum(1 << b for b in c) for n in range(DISTANCE + 1) for c in combinations(range(BITS), n)]
+
+
+def _opened_links(rows: DataFrame, distance: int) -> DataFrame:
+    """As ``_bucket_links``, for opened buckets: a bucket's indexed rows come first, and the others pass by."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bucket, mark = None, None
+        for b in batches:
+            fp, ring, key, own = (b.column(k).to_numpy(zero_copy_only=False) for k in range(4))
+            if not len(fp):
+                continue
+            edge = np.flatnonzero((key[1:] != key[:-1]) | (ring[1:] != ring[:-1]) | (own[1:] != own[:-1])) + 1
+            begin, found = 0, []
+            for end in [*edge.tolist(), len(fp)]:
+                if (now := (int(ring[begin]), int(key[begin]))) != mark:
+                    mark, bucket = now, None
+                if own[begin]:
+                    bucket = bucket or _Opened(now[0], distance)
+                    bucket.index(fp[begin:end])
+                elif bucket:  # without an indexed row there is nothing to link
+                    bucket.probe(fp[begin:end])
+                if bucket:
+                    found, bucket.found = found + bucket.found, []
+                begin = end
+            yield _told(found)
+
+    dealt = rows.select("fp", "ring", "key", "own").repartition("ring", "key").sortWithinPartitions("ring", "key", F.desc("own"))
+    return dealt.mapInArrow(run, "u long, v long")
+
+
 def near_links(fps: DataFrame, hot: int = 2048) -> DataFrame:
     """``fps`` (fp long, distinct) -> links (u, v) whose components are those of all pairs within 3 bits."""
     rows = _ring_rows(fps, 2)
@@ -174,7 +266,7 @@ def near_links(fps: DataFrame, hot: int = 2048) -> DataFrame:
     cold = rows.join(full, ["ring", "key"], "left_anti")
     opened = rows.join(full, ["ring", "key"], "left_semi").select("fp").distinct()
     # Every pair of an opened bucket shares a longer chain too, perhaps from another segment: all rings are opened for its members.
-    return _bucket_links(cold, DISTANCE).unionByName(_bucket_links(_ring_rows(opened, 3), DISTANCE))
+    return _bucket_links(cold, DISTANCE).unionByName(_opened_links(_ring_rows(opened, 3), DISTANCE))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, hot: int = 2048) -> DataFrame:

@@ -80,7 +80,8 @@ def test_hot_buckets_lose_no_link(spark):
     signed = [f - (1 << 64) if f >> 63 else f for f in fps]
     df = spark.createDataFrame([(f,) for f in signed], "fp long")
     want = components(list(fps))
-    for hot in (3, 2048):
+    for hot, batch in ((3, 10_000), (0, 7), (2048, 10_000), (2048, 7)):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
         links = simhash.near_links(df, hot=hot)
         rows = links.collect()
         assert all(((a ^ b) & (1 << 64) - 1).bit_count() <= 3 for a, b in rows)
@@ -89,6 +90,37 @@ def test_hot_buckets_lose_no_link(spark):
         for f in fps:
             groups.setdefault(want[f], set()).add(got.get(f, ("alone", f)))
         assert all(len(g) == 1 for g in groups.values()) and len(groups) == len({x for g in groups.values() for x in g})
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_opened_bucket_of_all_last_values(spark):
+    """The largest index an opened bucket can have, and probes that differ in the segments before."""
+    rng = np.random.default_rng(4)
+    low = np.int64(0x123456789ABC)
+    own = low | (rng.permutation(1 << 16)[:40_000].astype(np.int64) << 48)
+    probes = np.concatenate([own[:50] ^ (1 << 20), own[50:100] ^ ((1 << 40) | (1 << 41))])
+    bucket = simhash._Opened(0, 3)
+    for part in np.array_split(own, 7):
+        bucket.index(part)
+    links = len(bucket.found)
+    assert links < 2 * len(own)
+    bucket.probe(probes)
+    found = [(a, b) for a, b in bucket.found]
+    assert all(((a ^ b) & (1 << 64) - 1).bit_count() <= 3 for a, b in found)
+    parent = {}
+
+    def root(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for a, b in found:
+        parent[root(a)] = root(b)
+    assert len({root(int(x)) for x in np.concatenate([own, probes])}) == 1  # so many values lie within three bits of each other
+    lone = simhash._Opened(2, 3)
+    lone.index(np.array([0], np.int64))
+    lone.probe(np.array([0b1111 << 16, 0b111 << 16], np.int64))
+    assert lone.found == [(0b111 << 16, 0)]
 
 
 def test_components_of_a_path(spark):
