@@ -37,8 +37,9 @@ TEMPLATES = (
 )
 #: The share of a template's weight that a place needs, and the words of a key phrase that are looked up.
 COVERAGE, RARE = 0.6, 2
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: What stands between words: all of ASCII but letters and digits.
+_BETWEEN = "".join(chr(c) for c in range(128) if not chr(c).isalnum())
 
 
 def posting_rows() -> list[tuple]:
@@ -56,8 +57,8 @@ def posting_rows() -> list[tuple]:
 
 def _words(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, w): the words of each text; ASCII capitals are lowered and no other letter is."""
-    text = F.translate(F.coalesce(F.col(text_col), F.lit("")), _UPPER, _LOWER)
-    return docs.select(F.col(id_col).alias("id"), F.regexp_extract_all(text, F.lit(WORD), 0).alias("w"))
+    spaced = F.translate(F.coalesce(F.col(text_col), F.lit("")), _UPPER + _BETWEEN, _LOWER + " " * len(_BETWEEN))
+    return docs.select(F.col(id_col).alias("id"), F.array_remove(F.split(spaced, " "), "").alias("w"))
 
 
 def _text(words) -> str:
