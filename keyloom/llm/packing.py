@@ -2,7 +2,8 @@
 
 A document becomes one or more pieces of at most ``window`` tokens, and pieces are put into as few
 sequences of ``window`` tokens as can be. The pieces are dealt by hash into blocks of about
-``block_items`` pieces. For each block several islands evolve populations of packings:
+``block_items`` pieces. A block is first best-fitted from its largest piece down. Where that is not proven
+to take the least number of sequences, several islands evolve populations of packings:
 
 * a chromosome is a packing, its genes are whole bins;
 * crossover injects a share of one parent's best-filled bins into the other parent, removes the
@@ -10,8 +11,8 @@ sequences of ``window`` tokens as can be. The pieces are dealt by hash into bloc
 * mutation dissolves the emptiest bins and best-fits their documents again;
 * islands are separate Spark tasks, and after each epoch every island's elite moves to the next one.
 
-What is left in each block's emptiest bins is pooled and packed once more in the same way, so that
-blocks cost no bins at their edges.
+Unless the blocks together take the least number, all their bins with room left are opened and packed once more in the
+same way, in pools of like size, each starting from the packing it has, so that it never gets worse.
 
 Edge cases: a null text is an empty one and gives one piece of one token (the end mark). Null ids and
 repeated rows are packed like any other row, each on its own. An empty table gives an empty result.
@@ -231,10 +232,15 @@ def mutated(size: np.ndarray, window: int, packing: np.ndarray, rng: random.Rand
     return _rebuilt(size, window, kept, np.concatenate([groups[k] for k in sorted(gone)]), rng)
 
 
-def evolve(size: np.ndarray, window: int, population: list[np.ndarray], members: int, generations: int, seed: int) -> list[np.ndarray]:
-    """One epoch of one island; the best packing comes first. Ends early at the proven least number of bins."""
+def least_bins(size: np.ndarray, window: int) -> int:
+    """No packing has fewer: the tokens ask for so many bins, and so do the items of which no two fit together."""
+    return max(-(-int(size.sum()) // window), int((2 * size > window).sum()))
+
+
+def evolve(size: np.ndarray, window: int, population: list[np.ndarray], members: int, generations: int, seed: int) -> tuple[list[np.ndarray], int]:
+    """One epoch of one island: packings, the best first, and the generations run. Ends early at the proven least number of bins."""
     rng = random.Random(seed)
-    least = -(-int(size.sum()) // window)
+    least, ran = least_bins(size, window), 0
     everything = np.arange(len(size))
     population = [p for p in population if len(p) == len(size)]
     if not population:
@@ -246,6 +252,7 @@ def evolve(size: np.ndarray, window: int, population: list[np.ndarray], members:
     for _ in range(generations):
         if -max(score)[0] <= least or len(size) < 2:
             break
+        ran += 1
         a, b = rng.sample(range(len(population)), 2) if len(population) > 1 else (0, 0)
         if score[b] > score[a]:
             a, b = b, a
@@ -256,84 +263,115 @@ def evolve(size: np.ndarray, window: int, population: list[np.ndarray], members:
         if got > score[worst]:
             population[worst], score[worst] = child, got
     ranked = sorted(range(len(population)), key=lambda k: score[k], reverse=True)
-    return [population[k] for k in ranked]
+    return [population[k] for k in ranked], ran
 
 
 # --- islands as Spark tasks ---------------------------------------------------------------------
 
-_STATE = "block long, island int, place int, bins long, fit double, packing binary"
+_STATE = "block long, island int, place int, bins long, fit double, generations long, packing binary"
 
 
-def _pack_blocks(items: DataFrame, window: int, islands: int, epochs: int, members: int, generations: int, seed: int) -> DataFrame:
-    """``items`` (block, uid, length) with the bin of each item within its block."""
-    spread = items.select("block", "uid", "length").withColumn("island", F.explode(F.array([F.lit(k) for k in range(islands)])))
-    state = None
+def _started(items: DataFrame, window: int) -> DataFrame:
+    """(block, bins, least, packing): each block best-fitted from its largest item down, or as ``old`` has it if that takes fewer bins."""
+
+    def run(key, own):
+        own = own.sort_values("uid", kind="stable")
+        size = own["length"].to_numpy(np.int64)
+        tried = [_rebuilt(size, window, [], np.arange(len(size)), None)]
+        if own["old"].notna().all():
+            tried.append(np.unique(own["old"].to_numpy(np.int64), return_inverse=True)[1])
+        best = max(tried, key=lambda p: fitness(size, p, window))
+        return pd.DataFrame({"block": [int(key[0])], "bins": [int(best.max()) + 1], "least": [least_bins(size, window)], "packing": [best.astype(np.int32).tobytes()]})
+
+    return items.select("block", "uid", "length", "old").groupBy("block").applyInPandas(run, "block long, bins long, least long, packing binary")
+
+
+def _evolved(items: DataFrame, hard: DataFrame, window: int, islands: int, epochs: int, members: int, generations: int, seed: int) -> DataFrame:
+    """(block, packing, generations) of the ``hard`` blocks after some epochs on islands, the elite moving on after each."""
+    spread = items.join(hard.select("block"), "block", "left_semi").select("block", "uid", "length").withColumn("island", F.explode(F.array([F.lit(k) for k in range(islands)])))
+    places = F.explode(F.array([F.lit(k) for k in range(islands)])).alias("island")
+    state = hard.select("block", places, F.lit(0).alias("place"), "bins", F.lit(0.0).alias("fit"), F.lit(0).cast("long").alias("generations"), "packing")
 
     def island_epoch(epoch: int):
-        def run(key, own: pd.DataFrame, pop: pd.DataFrame) -> pd.DataFrame:
+        def run(key, own, pop):
             block, island = int(key[0]), int(key[1])
             size = own.sort_values("uid", kind="stable")["length"].to_numpy(np.int64)
             if not len(size):
-                return pd.DataFrame({"block": [], "island": [], "place": [], "bins": [], "fit": [], "packing": []})
+                return pd.DataFrame({"block": [], "island": [], "place": [], "bins": [], "fit": [], "generations": [], "packing": []})
             before = [np.frombuffer(p, np.int32) for p in pop.sort_values(["place", "bins"])["packing"]] if len(pop) else []
-            after = evolve(size, window, before, members, generations, hash((seed, block, island, epoch)))[:members]
+            after, ran = evolve(size, window, before, members, generations, hash((seed, block, island, epoch)))
+            after = after[:members]
             score = [fitness(size, p, window) for p in after]
-            return pd.DataFrame({"block": block, "island": island, "place": range(len(after)), "bins": [-s[0] for s in score], "fit": [s[1] for s in score], "packing": [p.astype(np.int32).tobytes() for p in after]})
+            told = int(pop["generations"].max()) + ran if len(pop) else ran
+            return pd.DataFrame({"block": block, "island": island, "place": range(len(after)), "bins": [-s[0] for s in score], "fit": [s[1] for s in score], "generations": told, "packing": [p.astype(np.int32).tobytes() for p in after]})
 
         return run
 
-    def first_epoch(key, own: pd.DataFrame) -> pd.DataFrame:
-        return island_epoch(0)(key, own, own.iloc[:0])
-
     for epoch in range(epochs):
-        if state is None:
-            grown = spread.groupBy("block", "island").applyInPandas(first_epoch, _STATE)
-        else:
-            elite = state.filter("place = 0").withColumn("island", F.expr(f"cast((island + 1) % {islands} as int)")).withColumn("place", F.lit(-1))
-            moved = state.unionByName(elite) if islands > 1 else state
-            grown = spread.groupBy("block", "island").cogroup(moved.groupBy("block", "island")).applyInPandas(island_epoch(epoch), _STATE)
+        elite = state.filter("place = 0").withColumn("island", F.expr(f"cast((island + 1) % {islands} as int)")).withColumn("place", F.lit(-1)).withColumn("generations", F.lit(0).cast("long"))
+        moved = state.unionByName(elite) if islands > 1 and epoch else state
+        grown = spread.groupBy("block", "island").cogroup(moved.groupBy("block", "island")).applyInPandas(island_epoch(epoch), _STATE)
         state = stage(grown, f"packing-epoch{epoch}")
-    won = state.filter("place = 0").groupBy("block").agg(F.max_by("packing", F.struct(-F.col("bins"), F.col("fit"), -F.col("island"))).alias("packing"))
+    best = F.max_by("packing", F.struct(-F.col("bins"), F.col("fit"), -F.col("island")))
+    return state.filter("place = 0").groupBy("block").agg(best.alias("packing"), F.sum("generations").alias("generations"))
+
 
-    def placed(key, own: pd.DataFrame, best: pd.DataFrame) -> pd.DataFrame:
+def _pack_blocks(items: DataFrame, window: int, islands: int, epochs: int, members: int, generations: int, seed: int) -> DataFrame:
+    """``items`` (block, uid, length, old) with the bin of each item within its block, and the generations run for it.
+
+    A block that takes the proven least number of bins from the start is done, and nothing is evolved for it.
+    """
+    started = stage(_started(items, window), "packing-start")
+    hard = started.filter("bins > least")
+    won = started.select("block", "packing", F.lit(0).cast("long").alias("generations"))
+    if not hard.isEmpty():
+        grown = _evolved(items, hard, window, islands, epochs, members, generations, seed)
+        won = won.join(hard.select("block"), "block", "left_anti").unionByName(grown)
+
+    def placed(key, own, best):
         own = own.sort_values("uid", kind="stable").reset_index(drop=True)
         if own.empty:
-            return pd.DataFrame({"uid": [], "block": [], "bin": [], "fill": [], "offset": []})
+            return pd.DataFrame({"uid": [], "block": [], "bin": [], "fill": [], "offset": [], "generations": []})
         packing, size = np.frombuffer(best["packing"].iloc[0], np.int32), own["length"].to_numpy(np.int64)
         order = np.argsort(packing, kind="stable")
         ends = np.cumsum(size[order])
         fill = _fills(size, packing)
         offset = np.empty(len(size), np.int64)
         offset[order] = ends - size[order] - (np.cumsum(fill) - fill)[packing[order]]
-        return pd.DataFrame({"uid": own["uid"], "block": own["block"], "bin": packing.astype(np.int64), "fill": fill[packing], "offset": offset})
+        return pd.DataFrame({"uid": own["uid"], "block": own["block"], "bin": packing.astype(np.int64), "fill": fill[packing], "offset": offset, "generations": int(best["generations"].iloc[0])})
 
-    return items.select("block", "uid", "length").groupBy("block").cogroup(won.groupBy("block")).applyInPandas(placed, "uid long, block long, bin long, fill long, offset long")
+    return items.select("block", "uid", "length").groupBy("block").cogroup(won.groupBy("block")).applyInPandas(placed, "uid long, block long, bin long, fill long, offset long, generations long")
 
 
 def best_fit_pack(
     docs: DataFrame, tokenizer_path: str, window: int = 4096, id_col: str = "doc_id", text_col: str = "text",
-    block_items: int = 8192, islands: int = 3, epochs: int = 2, members: int = 4, generations: int = 6, seed: int = 7,
+    block_items: int = 8192, islands: int = 3, epochs: int = 2, members: int = 4, generations: int = 20, seed: int = 7, slack: float = 0.02,
 ) -> DataFrame:
     """Pack ``docs`` into sequences of ``window`` tokens.
 
-    Returns a row per piece: ``id_col``, piece, start, length, ids_crc32, sequence_id, offset, and ``row``,
-    which tells apart documents that share an id. ``block_items`` bounds what one task holds.
+    Returns a row per piece: ``id_col``, piece, start, length, ids_crc32, sequence_id, offset, ``row``, which
+    tells apart documents that share an id, and ``generations``, those that were run for the piece's block: none
+    where the packing took the proven least number of sequences before. ``block_items`` bounds what one task holds.
     """
     pieces = stage(tokenised_pieces(docs, tokenizer_path, window, id_col, text_col).withColumn("uid", F.monotonically_increasing_id()), "packing-pieces")
     full, small = pieces.filter(F.col("length") == window), pieces.filter(F.col("length") < window)
-    blocks = max(1, -(-small.count() // block_items))
-    dealt = small.withColumn("block", F.expr(f"pmod(xxhash64(uid, {seed}), {blocks})"))
-    first = stage(_pack_blocks(dealt, window, islands, epochs, members, generations, seed), "packing-first")
+    n, tokens = small.agg(F.count("*"), F.sum("length")).first()
+    blocks = max(1, -(-n // block_items))
+    settings = (window, islands, epochs, members, generations)
+    dealt = small.withColumn("block", F.expr(f"pmod(xxhash64(uid, {seed}), {blocks})")).withColumn("old", F.lit(None).cast("long"))
+    first = stage(_pack_blocks(dealt, *settings, seed), "packing-first")
     if blocks > 1:
-        # The bins that are not full, at most a few of each block, are opened again and packed together.
-        pool = max(1, block_items // 64)
-        order = first.groupBy("block", "bin").agg(F.first("fill").alias("fill")).filter(F.col("fill") < window)
-        slack = order.withColumn("rank", F.expr("row_number() over (partition by block order by fill, bin)")).filter(f"rank <= {pool // 8 or 1}").select("block", "bin")
-        loose = small.select("uid", "length").join(first.join(slack, ["block", "bin"], "left_semi").select("uid", F.col("block").alias("home")), "uid")
-        again = loose.withColumn("block", F.expr("-1 - home div 64")).drop("home")
-        kept = first.join(slack, ["block", "bin"], "left_anti")
-        second = _pack_blocks(stage(again, "packing-pool"), window, islands, epochs, members, generations, seed + 1)
-        first = kept.unionByName(second)
-    ids = first.select("uid", F.expr("(block * 4294967296) + bin").alias("sequence_id"), "offset")
-    out = small.join(ids, "uid").unionByName(full.withColumn("sequence_id", F.expr("-4611686018427387904 - uid")).withColumn("offset", F.lit(0).cast("long")))
-    return out.select(F.col("id").alias(id_col), "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "row")
+        bins = first.groupBy("block", "bin").agg(F.first("fill").alias("fill"), F.count("*").alias("pieces"))
+        if bins.count() > -(-tokens // window):  # else no packing has fewer
+            # The bins with more than ``slack`` of room are opened, whole, and packed again across blocks, in pools that a task can hold.
+            loose = stage(bins.filter(F.col("fill") < (1 - slack) * window), "packing-loose")
+            pools = max(1, -(-(loose.agg(F.sum("pieces")).first()[0] or 0) // block_items))
+            pool = F.expr(f"-1 - pmod(xxhash64(block, bin, {seed}), {pools})")
+            again = first.join(loose.select("block", "bin", pool.alias("pool")), ["block", "bin"]).select("uid", F.col("pool").alias("block"), F.expr("block * 4294967296 + bin").alias("old"), F.col("generations").alias("before"))
+            again = stage(again.join(small.select("uid", "length"), "uid"), "packing-pool")
+            second = _pack_blocks(again, *settings, seed + 1).join(again.select("uid", "before"), "uid").withColumn("generations", F.col("generations") + F.col("before")).drop("before")
+            first = first.join(loose, ["block", "bin"], "left_anti").unionByName(second)
+    ids = first.select("uid", F.expr("(block * 4294967296) + bin").alias("sequence_id"), "offset", "generations")
+    alone = full.withColumn("sequence_id", F.expr("-4611686018427387904 - uid")).withColumn("offset", F.lit(0).cast("long")).withColumn("generations", F.lit(0).cast("long"))
+    out = small.join(ids, "uid").unionByName(alone)
+    return out.select(F.col("id").alias(id_col), "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "row", "generations")

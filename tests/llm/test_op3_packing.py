@@ -63,10 +63,55 @@ def test_genetic_operators_keep_all_items():
     b = packing._rebuilt(size, 64, [], np.arange(300), rng)
     for child in (packing.crossover(size, 64, a, b, rng), packing.mutated(size, 64, a, rng)):
         assert len(child) == 300 and packing._fills(size, child).max() <= 64 and packing._fills(size, child).min() > 0
-    best = packing.evolve(size, 64, [], 4, 30, 5)[0]
+    best = packing.evolve(size, 64, [], 4, 30, 5)[0][0]
     assert packing.fitness(size, best, 64) >= packing.fitness(size, a, 64)
 
 
+def triplets(n, window, seed):
+    """Sizes of which three fill a bin exactly; best fit alone does not find them."""
+    import random
+
+    rng, out = random.Random(seed), []
+    for _ in range(n):
+        a = rng.randint(38 * window // 100, 49 * window // 100)
+        b = (window - a) // 2 + rng.randint(0, window // 10)
+        out += [a, b, window - a - b]
+    rng.shuffle(out)
+    return out
+
+
+def test_generations_beat_best_fit_on_hard_pieces(spark):
+    sizes = triplets(20, 1000, 3)
+    size = np.array(sizes)
+    fit = len(packing._fills(size, packing._rebuilt(size, 1000, [], np.arange(len(size)), None)))
+    assert fit == 22 and packing.least_bins(size, 1000) == 20
+    texts = [(i, "word " * (n - 1)) for i, n in enumerate(sizes)]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    got = packing.best_fit_pack(df, queries.tokenizer_path(), 1000, generations=100, members=8).collect()
+    assert check(got, texts, 1000) < fit
+    assert all(r["generations"] > 0 for r in got)
+
+
+def test_blocks_are_packed_again_together(spark):
+    sizes = [700, 300] * 40 + [650, 350] * 40
+    texts = [(i, "word " * (n - 1)) for i, n in enumerate(sizes)]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    got = packing.best_fit_pack(df, queries.tokenizer_path(), 1000, block_items=20, generations=5).collect()
+    parts = {}
+    for k, n in enumerate(sizes):
+        parts.setdefault(k % 8, []).append(n)
+    alone = sum(packing.least_bins(np.array(p), 1000) for p in parts.values())
+    assert check(got, texts, 1000) <= alone + 1
+
+
+def test_a_pool_is_never_worse_than_before(spark):
+    size = [60, 40, 35, 35, 30, 55, 25, 20]  # best fit takes four bins of 100, the old packing three
+    rows = [(-1, u, n, old, 0) for u, (n, old) in enumerate(zip(size, [1, 1, 2, 2, 2, 3, 3, 3]))]
+    items = spark.createDataFrame(rows, "block long, uid long, length long, old long, before long")
+    got = packing._pack_blocks(items, 100, 2, 1, 2, 3, 1).collect()
+    assert len({r["bin"] for r in got}) == 3 and {r["generations"] for r in got} == {0}
+
+
 def test_long_chunks_are_not_cached():
     from keyloom.llm import packing
     from keyloom.llm.queries import tokenizer_path
