@@ -80,10 +80,10 @@ def lrange_neg(spark, sf_dir):
     return lists.lrange(t.queues(spark, sf_dir), -5, -2)
 
 
-@query(f"WITH {Q} SELECT key, pos, CASE WHEN place = 2 AND key LIKE '%1' THEN 'set' ELSE value END AS value FROM (SELECT *, {HEAD} AS place FROM l)")
+@query(f"WITH {Q} SELECT key, pos, CASE WHEN place = 2 THEN 'set' ELSE value END AS value FROM (SELECT *, {HEAD} AS place FROM l)")
 def lset(spark, sf_dir):
     q = t.queues(spark, sf_dir)
-    return lists.lset(q, q.select("key").distinct().filter("key LIKE '%1'").withColumn("value", F.lit("set")), 1).state
+    return lists.lset(q, q.select("key").distinct().withColumn("value", F.lit("set")), 1).state
 
 
 @query(f"""WITH {Q}, p AS (SELECT key, min(pos) AS p FROM l WHERE value = 'purchase' GROUP BY key), a AS (SELECT key, pos::DOUBLE AS pos, value FROM l UNION ALL SELECT key, p - 0.5, 'in' FROM p)
@@ -129,18 +129,18 @@ def brpop_match(spark, sf_dir):
     return lists.blocking_match(q.filter("value = 'click'"), q.filter("value = 'view'").select("key", F.col("pos").alias("wait_seq")), from_left=False)
 
 
-@query(f"""WITH {Q}, r AS (SELECT key, value FROM (SELECT *, {HEAD} AS place FROM l) WHERE place = 1), u AS (SELECT DISTINCT user_id FROM events WHERE user_id % 2 = 0)
+@query(f"""WITH {Q}, r AS (SELECT key, value FROM (SELECT *, {HEAD} AS place FROM l) WHERE place = 1), u AS (SELECT DISTINCT user_id FROM events)
   SELECT user_id AS request, coalesce(a.key, b.key) AS key, coalesce(a.value, b.value) AS value FROM u LEFT JOIN r a ON a.key = 'q:' || (user_id + 1) LEFT JOIN r b ON b.key = 'q:' || user_id WHERE coalesce(a.key, b.key) IS NOT NULL""")
 def blpop_first(spark, sf_dir):
-    users = t.read(spark, sf_dir, "events").select("user_id").distinct().filter("user_id % 2 = 0")
+    users = t.read(spark, sf_dir, "events").select("user_id").distinct()
     asked = users.select(F.col("user_id").alias("request"), F.posexplode(F.expr("array('none', concat('q:', user_id + 1), concat('q:', user_id))")).alias("ord", "key"))
     return lists.first_of(t.queues(spark, sf_dir), asked)
 
 
-@query(f"""WITH {Q}, m AS (SELECT DISTINCT user_id, 'q:' || user_id AS src FROM events WHERE user_id < 50), v AS (SELECT key, pos, value FROM (SELECT *, {TAIL} AS back FROM l) WHERE back = 1)
+@query(f"""WITH {Q}, m AS (SELECT DISTINCT user_id, 'q:' || user_id AS src FROM events), v AS (SELECT key, pos, value FROM (SELECT *, {TAIL} AS back FROM l) WHERE back = 1)
   SELECT user_id AS seq, src, 'done:' || (user_id % 5) AS dest, value FROM m JOIN v ON src = key""")
 def brpoplpush(spark, sf_dir):
-    users = t.read(spark, sf_dir, "events").select("user_id").distinct().filter("user_id < 50")
+    users = t.read(spark, sf_dir, "events").select("user_id").distinct()
     moves = users.select(t.named("q:", "user_id").alias("src"), F.expr("concat('done:', user_id % 5)").alias("dest"), F.col("user_id").alias("seq"))
     return lists.rpoplpush(t.queues(spark, sf_dir), moves).reply
 
@@ -149,11 +149,11 @@ def brpoplpush(spark, sf_dir):
 
 
 def _newcomers(spark, sf_dir):
-    """Members 100 to 160 for every set of clicks."""
-    return t.active(spark, sf_dir).select("key").distinct().filter("key LIKE 'active:click:%'").withColumn("member", F.explode(F.expr("transform(sequence(100, 160), x -> cast(x as string))")))
+    """Members 100 to 160 for every set."""
+    return t.active(spark, sf_dir).select("key").distinct().withColumn("member", F.explode(F.expr("transform(sequence(100, 160), x -> cast(x as string))")))
 
 
-NEW = f"{ACT}, w AS (SELECT DISTINCT key, unnest(range(100, 161))::VARCHAR AS member FROM (SELECT DISTINCT key FROM s WHERE key LIKE 'active:click:%'))"
+NEW = f"{ACT}, w AS (SELECT DISTINCT key, unnest(range(100, 161))::VARCHAR AS member FROM (SELECT DISTINCT key FROM s))"
 
 
 @query(f"WITH {NEW} SELECT key, count(*) AS added FROM w WHERE (key, member) NOT IN (SELECT (key, member) FROM s) GROUP BY key")
@@ -161,7 +161,7 @@ def sadd(spark, sf_dir):
     return sets.sadd(t.active(spark, sf_dir), _newcomers(spark, sf_dir)).reply
 
 
-@query(f"WITH {NEW} SELECT key, count(*) AS removed FROM w WHERE (key, member) IN (SELECT (key, member) FROM s) GROUP BY key")
+@query(f"WITH {NEW} SELECT w.key, count(s.member) AS removed FROM w LEFT JOIN s ON s.key = w.key AND s.member = w.member GROUP BY w.key")
 def srem(spark, sf_dir):
     return sets.srem(t.active(spark, sf_dir), _newcomers(spark, sf_dir)).reply
 
@@ -176,10 +176,10 @@ def sismember(spark, sf_dir):
     return sets.sismember(t.active(spark, sf_dir), _newcomers(spark, sf_dir))
 
 
-@query(f"WITH {ACT} SELECT key, member FROM s WHERE key LIKE 'active:signup:%'")
+@query(f"WITH {ACT} SELECT key, member FROM s")
 def smembers(spark, sf_dir):
     s = t.active(spark, sf_dir)
-    return sets.smembers(s, s.select("key").distinct().filter("key LIKE 'active:signup:%'"))
+    return sets.smembers(s, s.select("key").distinct())
 
 
 def _days(s):
@@ -247,12 +247,12 @@ def srandmember(spark, sf_dir):
 
 
 def _fields(spark, sf_dir):
-    """A new and an old field for every fifth customer: (key, field, value, seq)."""
-    rows = t.read(spark, sf_dir, "customer").filter("c_custkey % 5 = 0").select(t.named("cust:", "c_custkey").alias("key"), F.posexplode(F.array(F.lit("tier"), F.lit("segment"))).alias("seq", "field"))
+    """A new and an old field for every customer: (key, field, value, seq)."""
+    rows = t.read(spark, sf_dir, "customer").select(t.named("cust:", "c_custkey").alias("key"), F.posexplode(F.array(F.lit("tier"), F.lit("segment"))).alias("seq", "field"))
     return rows.select("key", "field", F.concat(F.lit("v"), F.col("seq").cast("string")).alias("value"), "seq")
 
 
-FLD = f"{HSH}, w AS (SELECT 'cust:' || c_custkey AS key, unnest(['tier', 'segment']) AS field, unnest(['v0', 'v1']) AS value FROM customer WHERE c_custkey % 5 = 0)"
+FLD = f"{HSH}, w AS (SELECT 'cust:' || c_custkey AS key, unnest(['tier', 'segment']) AS field, unnest(['v0', 'v1']) AS value FROM customer)"
 
 
 @query(f"WITH {FLD} SELECT coalesce(w.key, h.key) AS key, coalesce(w.field, h.field) AS field, coalesce(w.value, h.value) AS value FROM h FULL JOIN w ON h.key = w.key AND h.field = w.field")
@@ -270,16 +270,16 @@ def hget(spark, sf_dir):
     return hashes.hget(t.customers(spark, sf_dir), _fields(spark, sf_dir).select("key", "field"))
 
 
-@query("""SELECT 'cust:' || c_custkey AS key, unnest([0, 1, 2]) AS pos, unnest(['name', 'none', 'nation']) AS field, unnest([c_name, NULL, c_nationkey::VARCHAR]) AS value FROM customer WHERE c_custkey % 10 = 1""")
+@query("""SELECT 'cust:' || c_custkey AS key, unnest([0, 1, 2]) AS pos, unnest(['name', 'none', 'nation']) AS field, unnest([c_name, NULL, c_nationkey::VARCHAR]) AS value FROM customer""")
 def hmget(spark, sf_dir):
-    rows = t.read(spark, sf_dir, "customer").filter("c_custkey % 10 = 1").select(t.named("cust:", "c_custkey").alias("key"), F.posexplode(F.array(*map(F.lit, ("name", "none", "nation")))).alias("pos", "field"))
+    rows = t.read(spark, sf_dir, "customer").select(t.named("cust:", "c_custkey").alias("key"), F.posexplode(F.array(*map(F.lit, ("name", "none", "nation")))).alias("pos", "field"))
     return hashes.hmget(t.customers(spark, sf_dir), rows)
 
 
-@query(f"WITH {HSH} SELECT key, field, value FROM h WHERE key LIKE 'cust:1%'")
+@query(f"WITH {HSH} SELECT key, field, value FROM h")
 def hgetall(spark, sf_dir):
     h = t.customers(spark, sf_dir)
-    return hashes.hgetall(h, h.select("key").distinct().filter("key LIKE 'cust:1%'"))
+    return hashes.hgetall(h, h.select("key").distinct())
 
 
 @query(f"WITH {FLD} SELECT key, field, value FROM h WHERE (key, field) NOT IN (SELECT (key, field) FROM w)")
@@ -329,10 +329,10 @@ def setbit(spark, sf_dir):
     return bitmaps.setbit(b, bitmaps.sizes_of(b), w)[0]
 
 
-@query(f"WITH {BM} SELECT n.key, r.bit, CASE WHEN b.key IS NULL THEN 0 ELSE 1 END AS v FROM n CROSS JOIN (SELECT unnest(range(0, 2000, 50)) AS bit) r LEFT JOIN b ON b.key = n.key AND b.bit = r.bit")
+@query(f"WITH {BM} SELECT n.key, r.bit, CASE WHEN b.key IS NULL THEN 0 ELSE 1 END AS v FROM n, unnest(range(nbytes * 8 + 8)) r(bit) LEFT JOIN b ON b.key = n.key AND b.bit = r.bit")
 def getbit(spark, sf_dir):
     b, n = _bits(spark, sf_dir)
-    return bitmaps.getbit(b, n.select("key", F.explode(F.expr("sequence(0L, 1950L, 50L)")).alias("bit")))
+    return bitmaps.getbit(b, n.select("key", F.explode(F.expr("sequence(0L, nbytes * 8 + 7)")).alias("bit")))
 
 
 @query(f"WITH {BM} SELECT key, count(*) AS count FROM b GROUP BY key")
@@ -353,31 +353,31 @@ def bitpos1(spark, sf_dir):
     return bitmaps.bitpos(b, n.select("key").unionByName(spark.createDataFrame([("none",)], "key string")), n, 1)
 
 
-@query(f"WITH {BM} SELECT key, min(r.p) AS bitpos FROM n JOIN (SELECT unnest(range(0, 3000)) AS p) r ON (key, r.p) NOT IN (SELECT (key, bit) FROM b) GROUP BY key UNION ALL SELECT 'none', 0")
+@query(f"WITH {BM} SELECT key, min(r.p) AS bitpos FROM n, unnest(range(nbytes * 8 + 1)) r(p) WHERE (key, r.p) NOT IN (SELECT (key, bit) FROM b) GROUP BY key UNION ALL SELECT 'none', 0")
 def bitpos0(spark, sf_dir):
     b, n = _bits(spark, sf_dir)
     return bitmaps.bitpos(b, n.select("key").unionByName(spark.createDataFrame([("none",)], "key string")), n, 0)
 
 
 def _bitop(op: str, having: str):
-    sql = f"WITH {BM} SELECT split_part(key, ':', 3) AS dest, bit FROM b WHERE key SIMILAR TO 'bm:(click|error|view):.*' GROUP BY ALL HAVING {having}"
+    sql = f"WITH {BM}, d AS (SELECT split_part(key, ':', 3) AS dest, key, bit FROM b), m AS (SELECT dest, count(DISTINCT key) AS m FROM d GROUP BY dest) SELECT dest, bit FROM d JOIN m USING (dest) GROUP BY dest, bit, m HAVING {having}"
 
     @query(sql, f"bitop_{op.lower()}")
     def run(spark, sf_dir):
         b, n = _bits(spark, sf_dir)
-        groups = n.filter("key RLIKE '^bm:(click|error|view):'").select(F.split("key", ":")[2].alias("dest"), "key")
+        groups = n.select(F.split("key", ":")[2].alias("dest"), "key")
         return bitmaps.bitop(b, n, groups, op)[0]
 
 
-_bitop("AND", "count(*) = 3")
+_bitop("AND", "count(*) = m")
 _bitop("OR", "true")
 _bitop("XOR", "count(*) % 2 = 1")
 
 
-@query(f"WITH {BM}, e AS (SELECT key AS dest, unnest(range(nbytes * 8)) AS bit FROM n WHERE key LIKE 'bm:click:%') SELECT dest, bit FROM e WHERE (dest, bit) NOT IN (SELECT (key, bit) FROM b)")
+@query(f"WITH {BM}, e AS (SELECT key AS dest, unnest(range(nbytes * 8)) AS bit FROM n) SELECT dest, bit FROM e WHERE (dest, bit) NOT IN (SELECT (key, bit) FROM b)")
 def bitop_not(spark, sf_dir):
     b, n = _bits(spark, sf_dir)
-    return bitmaps.bitop(b, n, n.filter("key LIKE 'bm:click:%'").select(F.col("key").alias("dest"), "key"), "NOT")[0]
+    return bitmaps.bitop(b, n, n.select(F.col("key").alias("dest"), "key"), "NOT")[0]
 
 
 # --- Bloom filters --------------------------------------------------------------------------------

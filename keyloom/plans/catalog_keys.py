@@ -15,13 +15,12 @@ TTL = f"""m AS (SELECT 'sess:' || event_id AS key, 'STRING' AS type, CASE WHEN e
   a AS (SELECT * FROM m WHERE expire_at IS NULL OR expire_at >= {NOW})"""
 
 
-def _asked(spark, sf_dir, prefix="doc:", every=10):
-    """Every ``every``-th document's key, and as many of no document."""
-    rows = t.read(spark, sf_dir, "documents").filter(f"doc_id % {every} = 0")
-    return rows.select(F.explode(F.array(t.named(prefix, "doc_id"), t.named("none:", "doc_id"))).alias("key"))
+def _asked(spark, sf_dir):
+    """Every document's key, and as many of no document."""
+    return t.read(spark, sf_dir, "documents").select(F.explode(F.array(t.named("doc:", "doc_id"), t.named("none:", "doc_id"))).alias("key"))
 
 
-ASK = "k AS (SELECT unnest(['doc:' || doc_id, 'none:' || doc_id]) AS key FROM documents WHERE doc_id % 10 = 0)"
+ASK = "k AS (SELECT unnest(['doc:' || doc_id, 'none:' || doc_id]) AS key FROM documents)"
 
 
 @query(f"WITH {STR}, {ASK} SELECT k.key, value FROM k LEFT JOIN s ON k.key = s.key")
@@ -68,9 +67,9 @@ def getex(spark, sf_dir):
     return strings.getex(values, meta, asked, NOW).state.select("key", "type", "expire_at")
 
 
-@query(f"WITH {STR}, q AS (SELECT doc_id AS pos, CASE WHEN doc_id % 2 = 0 THEN 'doc:' || doc_id ELSE 'none' END AS key FROM documents WHERE doc_id % 5 = 0) SELECT pos, q.key, value FROM q LEFT JOIN s ON q.key = s.key")
+@query(f"WITH {STR}, q AS (SELECT doc_id AS pos, CASE WHEN doc_id % 2 = 0 THEN 'doc:' || doc_id ELSE 'none' END AS key FROM documents) SELECT pos, q.key, value FROM q LEFT JOIN s ON q.key = s.key")
 def mget(spark, sf_dir):
-    rows = t.read(spark, sf_dir, "documents").filter("doc_id % 5 = 0")
+    rows = t.read(spark, sf_dir, "documents")
     return strings.mget(t.documents(spark, sf_dir), rows.select(F.col("doc_id").alias("pos"), F.when(F.col("doc_id") % 2 == 0, t.named("doc:", "doc_id")).otherwise("none").alias("key")))
 
 
@@ -80,9 +79,9 @@ def mset(spark, sf_dir):
     return strings.mset(w.select("key", "value").limit(0), w).state
 
 
-@query("WITH w AS (SELECT 'doc:' || user_id AS key, string_agg(event_type, '' ORDER BY event_id) AS tail FROM events WHERE event_id % 7 = 0 GROUP BY 1) SELECT key, octet_length(encode(coalesce(text, '') || tail))::INTEGER AS length FROM w LEFT JOIN documents ON key = 'doc:' || doc_id")
+@query("WITH w AS (SELECT 'doc:' || user_id AS key, string_agg(event_type, '' ORDER BY event_id) AS tail FROM events GROUP BY 1) SELECT key, octet_length(encode(coalesce(text, '') || tail))::INTEGER AS length FROM w LEFT JOIN documents ON key = 'doc:' || doc_id")
 def append(spark, sf_dir):
-    w = t.read(spark, sf_dir, "events").filter("event_id % 7 = 0").select(t.named("doc:", "user_id").alias("key"), F.col("event_type").alias("value"), F.col("event_id").alias("seq"))
+    w = t.read(spark, sf_dir, "events").select(t.named("doc:", "user_id").alias("key"), F.col("event_type").alias("value"), F.col("event_id").alias("seq"))
     return strings.append(t.documents(spark, sf_dir), w).reply
 
 
@@ -108,9 +107,12 @@ _counter("decrby", "-delta", "-CAST(floor(value) AS BIGINT)")
 # --- keys -----------------------------------------------------------------------------------------
 
 
-def _third(spark, sf_dir, scale: int = 1):
-    """Every third session's key, some absent."""
-    return t.read(spark, sf_dir, "events").filter("event_id % 3 = 0").select(F.concat(F.lit("sess:"), (F.col("event_id") * scale).cast("string")).alias("key"))
+def _sessions(spark, sf_dir):
+    """Every session's key, and as many of no session."""
+    return t.read(spark, sf_dir, "events").select(F.explode(F.array(t.named("sess:", "event_id"), t.named("none:", "event_id"))).alias("key"))
+
+
+EVERY = "r AS (SELECT unnest(['sess:' || event_id, 'none:' || event_id]) AS key FROM events)"
 
 
 @query(f"WITH {TTL} SELECT key, type, expire_at FROM m WHERE CAST(substr(key, 6) AS BIGINT) % 3 <> 0", "del")
@@ -118,19 +120,20 @@ def del_(spark, sf_dir):
     from ..schema import Keyspace
 
     ks = Keyspace.empty(spark).with_(meta=t.sessions(spark, sf_dir))
-    return keys.delete(ks, _third(spark, sf_dir))[0].meta
+    gone = t.read(spark, sf_dir, "events").filter("event_id % 3 = 0").select(t.named("sess:", "event_id").alias("key"))
+    return keys.delete(ks, gone)[0].meta
 
 
-@query(f"WITH {TTL} SELECT 2 * count(*) AS found FROM a WHERE CAST(substr(key, 6) AS BIGINT) % 6 = 0")
+@query(f"WITH {TTL} SELECT 2 * count(*) AS found FROM a")
 def exists(spark, sf_dir):
-    asked = _third(spark, sf_dir, 2)
+    asked = _sessions(spark, sf_dir)
     return keys.exists(t.sessions(spark, sf_dir), asked.unionByName(asked), NOW)
 
 
 def _expire(option: str, sql: str):
-    @query(f"WITH {TTL}, r AS (SELECT 'sess:' || event_id AS key, {NOW} + (event_id % 20) * 43200000 AS new FROM events WHERE event_id % 3 = 0) SELECT r.key, CASE WHEN a.key IS NOT NULL AND ({sql}) THEN 1 ELSE 0 END AS reply FROM r LEFT JOIN a ON r.key = a.key", f"expire_{option.lower()}")
+    @query(f"WITH {TTL}, r AS (SELECT unnest(['sess:' || event_id, 'none:' || event_id]) AS key, {NOW} + (event_id % 20) * 43200000 AS new FROM events) SELECT r.key, CASE WHEN a.key IS NOT NULL AND ({sql}) THEN 1 ELSE 0 END AS reply FROM r LEFT JOIN a ON r.key = a.key", f"expire_{option.lower()}")
     def run(spark, sf_dir):
-        asked = t.read(spark, sf_dir, "events").filter("event_id % 3 = 0").select(t.named("sess:", "event_id").alias("key"), ((F.col("event_id") % 20) * 43200).alias("seconds"))
+        asked = t.read(spark, sf_dir, "events").select(F.explode(F.array(t.named("sess:", "event_id"), t.named("none:", "event_id"))).alias("key"), ((F.col("event_id") % 20) * 43200).alias("seconds"))
         return keys.expire(t.sessions(spark, sf_dir), asked, NOW, option).reply
 
 
@@ -157,9 +160,9 @@ def live_keys(spark, sf_dir):
     return live(t.sessions(spark, sf_dir), NOW)
 
 
-@query(f"WITH {TTL}, r AS (SELECT 'sess:' || event_id AS key FROM events WHERE event_id % 3 = 0) SELECT r.key, CASE WHEN expire_at IS NOT NULL THEN 1 ELSE 0 END AS reply FROM r LEFT JOIN a ON r.key = a.key")
+@query(f"WITH {TTL}, {EVERY} SELECT r.key, CASE WHEN expire_at IS NOT NULL THEN 1 ELSE 0 END AS reply FROM r LEFT JOIN a ON r.key = a.key")
 def persist(spark, sf_dir):
-    return keys.persist(t.sessions(spark, sf_dir), _third(spark, sf_dir), NOW).reply
+    return keys.persist(t.sessions(spark, sf_dir), _sessions(spark, sf_dir), NOW).reply
 
 
 @query(f"WITH {TTL} SELECT type, count(*) AS keys, count(expire_at) AS expires FROM a GROUP BY type")
