@@ -5,10 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.hashing import md5_positions_column, murmur_positions_column
+from ..functions.hashing import DEFAULT_K, DEFAULT_M, md5_positions_column, murmur_positions_column
 from ..schema import Applied
 
-DEFAULT_M, DEFAULT_K = 8192, 5
 _HASHES = {"murmur": murmur_positions_column, "md5": md5_positions_column}
 
 

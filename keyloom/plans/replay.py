@@ -5,6 +5,9 @@ commands are all of one algebraic kind (last write, sums, membership, pushes) is
 aggregations, in which a DEL or SET is a barrier that nothing before it survives. Every other group
 is replayed in the order of ``seq`` by the model of single commands, group by group; only that path holds
 a group's log in one task. Replay reads the log and never appends to it. A failing command has no effect.
+
+Of a keyspace that a log is replayed onto, only the keys that the log touches are folded; the others are
+carried over as they are. A key's time to live from there is a barrier too, once the log goes beyond it.
 """
 
 from __future__ import annotations
@@ -13,73 +16,83 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.scores import score_text
+from ..operators.components import connected_components
 from ..schema import Keyspace
 from ..sources.staging import stage
-from .model import MULTI_KEY, CommandError, Store, keys_of
+from .model import MULTI_KEY, CommandError, Store
 
 #: Commands of each algebraic kind, besides DEL of one key.
 KINDS = {
-    "strings": ("SET", "INCRBY", "INCR", "DECR", "DECRBY"),
+    "strings": ("SET", "SETNX", "INCRBY", "INCR", "DECR", "DECRBY"),
     "hashes": ("HSET", "HDEL", "HINCRBY"),
     "sets": ("SADD", "SREM"),
     "zsets": ("ZADD", "ZINCRBY", "ZREM"),
     "lists": ("LPUSH", "RPUSH"),
 }
 TYPES = {"strings": "STRING", "hashes": "HASH", "sets": "SET", "zsets": "ZSET", "lists": "LIST"}
+#: Values that one push may have and still be folded: positions leave room for so many.
+MOST_PUSHED = 1_000_000
 _ROWS = "key string, type string, expire_at bigint, sub string, pos bigint, value string, score double"
+#: The keys that a command touches, as ``model.keys_of`` tells them.
+KEYS = """CASE WHEN cmd = 'DEL' THEN concat(array(key), args) WHEN cmd = 'MSET' THEN filter(concat(array(key), args), (x, i) -> i % 2 = 0) WHEN cmd = 'BITOP' THEN args
+  WHEN cmd IN ('SMOVE', 'RPOPLPUSH', 'BRPOPLPUSH') THEN concat(array(key), slice(args, 1, 1)) WHEN cmd IN ('BLPOP', 'BRPOP') THEN concat(array(key), slice(args, 1, greatest(size(args) - 1, 0)))
+  WHEN cmd IN ('ZUNIONSTORE', 'ZINTERSTORE') THEN concat(array(key), slice(args, 2, greatest(coalesce(try_cast(get(args, 0) AS INT), 0), 0))) ELSE array(key) END"""
 
 
-def group_keys(log: DataFrame, rounds: int = 50) -> DataFrame:
-    """(key, group) of keys that multi-key commands tie together; keys on their own are left out.
-
-    The least key spreads along commands, a join and an aggregation a round, until nothing changes.
-    """
+def group_keys(log: DataFrame) -> DataFrame | None:
+    """(key, group) of keys that multi-key commands tie together, None without any; keys on their own are left out."""
+    many = log.filter(F.col("cmd").isin(*MULTI_KEY) & (F.size("args") > 0)).select(F.array_distinct(F.expr(KEYS)).alias("keys")).filter(F.size("keys") > 1)
+    links = many.select(F.col("keys")[0].alias("u"), F.explode("keys").alias("v")).filter("u != v").distinct()
+    if links.isEmpty():
+        return None
+    return connected_components(links, stage).select(F.col("node").alias("key"), F.col("component").alias("group"))
 
-    @F.udf("array<string>")
-    def touched(cmd, key, args):
-        return sorted(set(keys_of(cmd, key, args or [])))
 
-    many = log.filter(F.upper("cmd").isin(*MULTI_KEY) & (F.size("args") > 0)).select("seq", F.explode(touched("cmd", "key", "args")).alias("key")).distinct()
-    links = many.join(many.groupBy("seq").agg(F.min("key").alias("low"), F.count("*").alias("n")).filter("n > 1"), "seq").select("key", "low").distinct()
-    if links.isEmpty():
-        return links.select("key", F.col("low").alias("group")).limit(0)
-    edges = stage(links.unionByName(links.select(F.col("low").alias("key"), F.col("key").alias("low"))).filter("key != low").distinct(), "key-links")
-    label = stage(edges.select("key").distinct().withColumn("group", F.col("key")), "key-groups")
-    for _ in range(rounds):
-        heard = edges.join(label.withColumnRenamed("key", "low"), "low").groupBy("key").agg(F.min("group").alias("heard"))
-        both = label.join(heard, "key").select("key", F.col("group").alias("old"), F.least("group", "heard").alias("group"))
-        label = stage(both, "key-groups")
-        if label.filter("group != old").isEmpty():
-            return label.drop("old")
-        label = label.drop("old")
-    raise RuntimeError("key groups did not settle")
-
-
-def _classified(log: DataFrame) -> DataFrame:
-    """The log with ``group`` and ``kind``; kind is null where a group needs its order."""
-    log = log.withColumn("cmd", F.upper("cmd"))
+def _classified(log: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The log with ``group``, and (group, kind) of the groups; kind is null where a group needs its order."""
     groups = group_keys(log)
-    tied = log.join(groups, "key", "left").withColumn("alone", F.col("group").isNull()).withColumn("group", F.coalesce("group", "key"))
+    # A command stands with the first key it touches, which for BITOP is not its first argument.
+    home = log.withColumn("home", F.coalesce(F.try_element_at(F.expr(KEYS), F.lit(1)), "key")) if groups is not None else log
+    tied = log.withColumn("alone", F.lit(True)).withColumn("group", F.col("key"))
+    if groups is not None:
+        tied = home.join(groups.withColumnRenamed("key", "home"), "home", "left").withColumn("alone", F.col("group").isNull()).withColumn("group", F.coalesce("group", "home")).drop("home")
     kind = F.lit(None).cast("string")
     for name, cmds in KINDS.items():
         kind = F.when(F.col("cmd").isin(*cmds), name).otherwise(kind)
-    plain = F.size("args") == F.when(F.col("cmd") == "SET", 1).when(F.col("cmd").isin("INCR", "DECR", "DEL"), 0).when(F.col("cmd").isin("INCRBY", "DECRBY"), 1).when(F.col("cmd") == "HINCRBY", 2).when(F.col("cmd") == "ZINCRBY", 2).otherwise(F.size("args"))
-    pairs = ~F.col("cmd").isin("HSET", "ZADD") | ((F.size("args") % 2 == 0) & (F.size("args") > 0))
+    n = F.size("args")
+    plain = n == F.when(F.col("cmd").isin("SET", "SETNX", "INCRBY", "DECRBY"), 1).when(F.col("cmd").isin("INCR", "DECR", "DEL"), 0).when(F.col("cmd").isin("HINCRBY", "ZINCRBY"), 2).otherwise(n)
+    pairs = ~F.col("cmd").isin("HSET", "ZADD") | ((n % 2 == 0) & (n > 0))
     numbers = F.when(F.col("cmd").isin("INCRBY", "DECRBY"), F.try_element_at("args", F.lit(1)).rlike(r"^-?[0-9]{1,9}\z")).when(F.col("cmd") == "HINCRBY", F.try_element_at("args", F.lit(2)).rlike(r"^-?[0-9]{1,9}\z"))
     numbers = numbers.when(F.col("cmd") == "ZINCRBY", F.try_element_at("args", F.lit(1)).rlike(r"^-?[0-9]+(\.[0-9]+)?\z")).when(F.col("cmd") == "ZADD", F.forall(F.filter("args", lambda x, i: i % 2 == 0), lambda x: x.rlike(r"^-?[0-9]+(\.[0-9]+)?\z"))).otherwise(True)
-    fine = F.col("alone") & (plain & pairs & F.coalesce(numbers, F.lit(False))) & (kind.isNotNull() | (F.col("cmd") == "DEL"))
+    few = ~F.col("cmd").isin("LPUSH", "RPUSH") | (n <= MOST_PUSHED)
+    ending = (F.col("cmd") == "PEXPIREAT") & F.col("of_base")
+    fine = F.col("alone") & plain & pairs & few & F.coalesce(numbers, F.lit(False)) & (kind.isNotNull() | (F.col("cmd") == "DEL") | ending)
     # SET values and HSET values that counters build upon must be numbers; the order decides otherwise.
     counts = F.col("cmd").isin("INCR", "INCRBY", "DECR", "DECRBY", "HINCRBY")
-    texts = (F.col("cmd").isin("SET") & ~F.coalesce(F.try_element_at("args", F.lit(1)).rlike(r"^-?[0-9]{1,15}\z"), F.lit(False))) | (F.col("cmd") == "HSET")
-    told = tied.withColumn("k", kind).groupBy("group").agg(F.bool_and(fine).alias("fine"), F.count_distinct("k").alias("kinds"), F.max("k").alias("kind"), (F.bool_or(counts) & F.bool_or(texts)).alias("mixed"))
-    told = told.select("group", F.when(F.col("fine") & (F.col("kinds") <= 1) & ~F.col("mixed"), F.coalesce("kind", F.lit("strings"))).alias("kind"))
-    return tied.join(told, "group")
-
-
-def _after(rows: DataFrame, barrier) -> DataFrame:
-    """Rows of each key from its last barrier on; partial maxima before the shuffle."""
-    last = rows.groupBy("key").agg(F.max(F.when(barrier, F.col("seq"))).alias("bar"))
-    return rows.join(last, "key").filter(F.col("bar").isNull() | (F.col("seq") > F.col("bar")) | ((F.col("seq") == F.col("bar")) & (F.col("cmd") != "DEL")))
+    texts = (F.col("cmd").isin("SET", "SETNX") & ~F.coalesce(F.try_element_at("args", F.lit(1)).rlike(r"^-?[0-9]{1,15}\z"), F.lit(False))) | (F.col("cmd") == "HSET")
+    # A container that loses its last element loses its time to live with it: then the order decides too.
+    takes = F.col("cmd").isin("HDEL", "SREM", "ZREM")
+    told = tied.withColumn("k", kind).groupBy("group").agg(
+        F.bool_and(fine).alias("fine"), F.count_distinct("k").alias("kinds"), F.max("k").alias("kind"), (F.bool_or(counts) & F.bool_or(texts)).alias("mixed"), (F.bool_or(ending) & F.bool_or(takes)).alias("ends")
+    )
+    return tied.drop("alone"), told.select("group", F.when(F.col("fine") & (F.col("kinds") <= 1) & ~F.col("mixed") & ~F.col("ends"), F.coalesce("kind", F.lit("strings"))).alias("kind"))
+
+
+def _after(rows: DataFrame, with_base: bool) -> tuple[DataFrame, DataFrame | None]:
+    """Rows of each key from its last barrier on, and (key, expire_at) of keys whose end from the base still holds; partial maxima before the shuffle."""
+    last = [F.max(F.when(F.col("cmd").isin("SET", "DEL"), F.col("seq"))).alias("bar")]
+    if with_base:
+        ending = F.col("cmd") == "PEXPIREAT"
+        last += [F.max(F.when(ending, F.try_element_at("args", F.lit(1)).try_cast("bigint"))).alias("end"), F.max(F.when(ending, F.col("seq"))).alias("end_seq"), F.max("at_ms").alias("last_ms")]
+    found = rows.groupBy("key").agg(*last)
+    after = F.col("bar").isNull() | (F.col("seq") > F.col("bar")) | ((F.col("seq") == F.col("bar")) & (F.col("cmd") != "DEL"))
+    if not with_base:
+        return rows.join(found, "key").filter(after), None
+    past = F.coalesce(F.col("last_ms") > F.col("end"), F.lit(False))
+    kept = rows.join(found, "key").filter(after & (~past | (F.col("at_ms") > F.col("end"))) & (F.col("cmd") != "PEXPIREAT"))
+    holds = found.filter(F.col("end").isNotNull() & ~past & (F.col("bar").isNull() | (F.col("bar") < F.col("end_seq"))))
+    return kept, holds.select("key", F.col("end").alias("expire_at"))
 
 
 def _latest_then_sum(rows: DataFrame, by: list[str], zero) -> DataFrame:
@@ -93,58 +106,63 @@ def _latest_then_sum(rows: DataFrame, by: list[str], zero) -> DataFrame:
     return out.filter(F.coalesce(put, F.lit(False)) | F.col("adds").isNotNull()).select(*by, (F.when(put, F.col("last.value")).otherwise(zero) + F.coalesce("adds", zero)).alias("value"))
 
 
-def _fold(log: DataFrame, kinds: set[str]) -> DataFrame:
+def _fold(log: DataFrame, kinds: set[str], with_base: bool) -> DataFrame:
     """The algebraic groups of the ``kinds`` present, as rows of the fold's schema."""
-    rows = {k: _after(log.filter(F.col("kind") == k), F.col("cmd").isin("SET", "DEL")) for k in KINDS}
     a = lambda i: F.try_element_at("args", F.lit(i))
-    none = {"expire_at": "bigint", "sub": "string", "pos": "bigint", "value": "string", "score": "double"}
+    none = {"sub": "string", "pos": "bigint", "value": "string", "score": "double"}
 
-    def shaped(df: DataFrame, kind: str) -> DataFrame:
+    def shaped(df: DataFrame, kind: str, ends: DataFrame | None) -> DataFrame:
+        df = df.join(ends, "key", "left") if ends is not None else df.withColumn("expire_at", F.lit(None).cast("bigint"))
         cols = [F.col(c).cast(t).alias(c) if c in df.columns else F.lit(None).cast(t).alias(c) for c, t in none.items()]
-        return df.select("key", F.lit(TYPES[kind]).alias("type"), *cols)
-
-    # strings: the last SET stands as it is if no counter follows it
-    s = rows["strings"].filter("cmd != 'DEL'")
-    delta = F.when(F.col("cmd") == "INCR", 1).when(F.col("cmd") == "DECR", -1).when(F.col("cmd") == "INCRBY", a(1).try_cast("bigint")).when(F.col("cmd") == "DECRBY", -a(1).try_cast("bigint"))
-    base = s.groupBy("key").agg(F.max(F.when(F.col("cmd") == "SET", a(1))).alias("base"), F.sum(delta).alias("delta"), F.count("*").alias("n"))
-    strings = base.select("key", F.when(F.col("delta").isNull(), F.col("base")).otherwise((F.coalesce(F.col("base").try_cast("bigint"), F.lit(0)) + F.col("delta")).cast("string")).alias("value"))
+        return df.select("key", F.lit(TYPES[kind]).alias("type"), "expire_at", *cols)
 
     def paired(df: DataFrame, first: str, second: str) -> DataFrame:
         """(key, seq, arg, first, second) of argument pairs."""
         at = df.select("key", "seq", F.posexplode("args").alias("arg", first), "args").filter("arg % 2 = 0")
         return at.select("key", "seq", "arg", first, F.try_element_at("args", F.col("arg") + 2).alias(second))
 
-    def singles(df: DataFrame, name: str) -> DataFrame:
-        return df.select("key", "seq", F.posexplode("args").alias("arg", name))
-
-    h = rows["hashes"]
-    puts = paired(h.filter("cmd = 'HSET'"), "sub", "value").withColumn("op", F.lit("put"))
-    drops = singles(h.filter("cmd = 'HDEL'"), "sub").withColumn("value", F.lit(None).cast("string")).withColumn("op", F.lit("drop"))
-    last = puts.unionByName(drops).groupBy("key", "sub").agg(F.max_by(F.struct("op", "value"), F.struct("seq", "arg")).alias("x")).filter("x.op = 'put'").select("key", "sub", F.col("x.value").alias("value"))
-    adds = h.filter("cmd = 'HINCRBY'").select("key", "seq", F.lit(0).alias("arg"), a(1).alias("sub"), a(2).try_cast("bigint").alias("value"), F.lit("add").alias("op"))
-    counting = _latest_then_sum(adds.unionByName(drops.withColumn("value", F.lit(None).cast("bigint"))), ["key", "sub"], F.lit(0).cast("bigint")).withColumn("value", F.col("value").cast("string"))
-    hashes = last.unionByName(counting.join(last.select("key", "sub"), ["key", "sub"], "left_anti"))
-
-    m = rows["sets"]
-    sets = singles(m.filter("cmd != 'DEL'").withColumn("args", F.col("args")), "value").join(m.select("key", "seq", "cmd").distinct(), ["key", "seq"])
-    sets = sets.groupBy("key", "value").agg(F.max_by("cmd", F.struct("seq", "arg")).alias("cmd")).filter("cmd = 'SADD'").drop("cmd")
-
-    z = rows["zsets"]
-    zput = paired(z.filter("cmd = 'ZADD'"), "value", "sub").select("key", "seq", "arg", "sub", F.col("value").try_cast("double").alias("value"), F.lit("put").alias("op"))
-    zdrop = singles(z.filter("cmd = 'ZREM'"), "sub").select("key", "seq", "arg", "sub", F.lit(None).cast("double").alias("value"), F.lit("drop").alias("op"))
-    zadd = z.filter("cmd = 'ZINCRBY'").select("key", "seq", F.lit(0).alias("arg"), a(2).alias("sub"), a(1).try_cast("double").alias("value"), F.lit("add").alias("op"))
-    zsets = _latest_then_sum(zput.unionByName(zdrop).unionByName(zadd), ["key", "sub"], F.lit(0.0)).withColumnRenamed("value", "score")
-
-    q = rows["lists"].filter("cmd != 'DEL'")
-    items = q.select("key", "seq", "cmd", F.posexplode("args").alias("arg", "value"))
-    # Positions order a list; a sequence number leaves room for a command's arguments, and those of a base,
-    # which start at -2**41, still count up from zero.
-    place = (F.col("seq") + F.lit(1 << 41)) * 1_000_000 + F.col("arg") + 1
-    lists = items.select("key", F.when(F.col("cmd") == "LPUSH", -place).otherwise(place).alias("pos"), "value")
+    def singles(df: DataFrame, name: str, *more: str) -> DataFrame:
+        return df.select("key", "seq", *more, F.posexplode("args").alias("arg", name))
+
+    def strings(rows: DataFrame) -> DataFrame:
+        # The last SET stands as it is if no counter follows it; without one the first command may be a SETNX.
+        s = rows.filter("cmd != 'DEL'")
+        delta = F.when(F.col("cmd") == "INCR", 1).when(F.col("cmd") == "DECR", -1).when(F.col("cmd") == "INCRBY", a(1).try_cast("bigint")).when(F.col("cmd") == "DECRBY", -a(1).try_cast("bigint"))
+        first = F.min_by(F.struct("cmd", a(1).alias("value")), "seq").alias("first")
+        base = s.groupBy("key").agg(F.max(F.when(F.col("cmd") == "SET", a(1))).alias("put"), F.sum(delta).alias("delta"), first)
+        start = F.coalesce("put", F.when(F.col("first.cmd") == "SETNX", F.col("first.value")))
+        return base.select("key", F.when(F.col("delta").isNull(), start).otherwise((F.coalesce(start.try_cast("bigint"), F.lit(0)) + F.col("delta")).cast("string")).alias("value"))
+
+    def hashes(h: DataFrame) -> DataFrame:
+        puts = paired(h.filter("cmd = 'HSET'"), "sub", "value").withColumn("op", F.lit("put"))
+        drops = singles(h.filter("cmd = 'HDEL'"), "sub").withColumn("value", F.lit(None).cast("string")).withColumn("op", F.lit("drop"))
+        last = puts.unionByName(drops).groupBy("key", "sub").agg(F.max_by(F.struct("op", "value"), F.struct("seq", "arg")).alias("x")).filter("x.op = 'put'").select("key", "sub", F.col("x.value").alias("value"))
+        adds = h.filter("cmd = 'HINCRBY'").select("key", "seq", F.lit(0).alias("arg"), a(1).alias("sub"), a(2).try_cast("bigint").alias("value"), F.lit("add").alias("op"))
+        counting = _latest_then_sum(adds.unionByName(drops.withColumn("value", F.lit(None).cast("bigint"))), ["key", "sub"], F.lit(0).cast("bigint")).withColumn("value", F.col("value").cast("string"))
+        return last.unionByName(counting.join(last.select("key", "sub"), ["key", "sub"], "left_anti"))
+
+    def sets(m: DataFrame) -> DataFrame:
+        each = singles(m.filter("cmd != 'DEL'"), "value", "cmd")
+        return each.groupBy("key", "value").agg(F.max_by("cmd", F.struct("seq", "arg")).alias("cmd")).filter("cmd = 'SADD'").drop("cmd")
+
+    def zsets(z: DataFrame) -> DataFrame:
+        put = paired(z.filter("cmd = 'ZADD'"), "value", "sub").select("key", "seq", "arg", "sub", F.col("value").try_cast("double").alias("value"), F.lit("put").alias("op"))
+        drop = singles(z.filter("cmd = 'ZREM'"), "sub").select("key", "seq", "arg", "sub", F.lit(None).cast("double").alias("value"), F.lit("drop").alias("op"))
+        add = z.filter("cmd = 'ZINCRBY'").select("key", "seq", F.lit(0).alias("arg"), a(2).alias("sub"), a(1).try_cast("double").alias("value"), F.lit("add").alias("op"))
+        return _latest_then_sum(put.unionByName(drop).unionByName(add), ["key", "sub"], F.lit(0.0)).withColumnRenamed("value", "score")
+
+    def lists(rows: DataFrame) -> DataFrame:
+        items = rows.filter("cmd != 'DEL'").select("key", "seq", "cmd", F.posexplode("args").alias("arg", "value"))
+        # Positions order a list; a sequence number leaves room for a command's arguments, and those of a base,
+        # which start at -2**41, still count up from zero.
+        place = (F.col("seq") + F.lit(1 << 41)) * MOST_PUSHED + F.col("arg") + 1
+        return items.select("key", F.when(F.col("cmd") == "LPUSH", -place).otherwise(place).alias("pos"), "value")
+
     out = log.sparkSession.createDataFrame([], _ROWS)
-    for kind, df in (("strings", strings), ("hashes", hashes), ("sets", sets), ("zsets", zsets), ("lists", lists)):
+    for kind, fold in (("strings", strings), ("hashes", hashes), ("sets", sets), ("zsets", zsets), ("lists", lists)):
         if kind in kinds:
-            out = out.unionByName(shaped(df, kind))
+            rows, ends = _after(log.filter(F.col("kind") == kind), with_base)
+            out = out.unionByName(shaped(fold(rows), kind, ends))
     return out
 
 
@@ -172,23 +190,47 @@ def _replayed(rows: pd.DataFrame) -> pd.DataFrame:
     return got.astype({"expire_at": "Int64", "pos": "Int64", "score": "float64"})
 
 
+def _commands(log: DataFrame) -> DataFrame:
+    """``log`` as (seq, at_ms, cmd, key, args, of_base)."""
+    at_ms = F.expr("datediff(cast(ts as date), date'1970-01-01') * 86400000L + (hour(ts) * 3600 + minute(ts) * 60) * 1000L + cast(extract(second from ts) * 1000 as bigint)")
+    return log.select("seq", at_ms.alias("at_ms"), F.upper("cmd").alias("cmd"), "key", F.coalesce("args", F.array().cast("array<string>")).alias("args"), F.lit(False).alias("of_base"))
+
+
+def unknown_commands(log: DataFrame) -> DataFrame:
+    """(cmd, count) of commands that no replay knows, which therefore have no effect."""
+    known = [name.removeprefix("do_").replace("bf_", "bf.").upper() for name in dir(Store) if name.startswith("do_")]
+    return log.select(F.upper("cmd").alias("cmd")).filter(~F.col("cmd").isin(known)).groupBy("cmd").agg(F.count("*").alias("count"))
+
+
 def replay(log: DataFrame, base: Keyspace | None = None) -> Keyspace:
     """Fold ``log`` (seq, ts, cmd, key, args array<string>) into a keyspace, from ``base`` if there is one.
 
     Text is the storage type here; binary strings travel as latin-1 text. Of a ``base`` the keys that the
-    log touches are written out as commands before the log's own.
+    log touches are written out as commands before the log's own, and the others are carried over.
     """
-    at_ms = F.expr("datediff(cast(ts as date), date'1970-01-01') * 86400000L + (hour(ts) * 3600 + minute(ts) * 60) * 1000L + cast(extract(second from ts) * 1000 as bigint)")
-    rows = log.select("seq", at_ms.alias("at_ms"), "cmd", "key", F.coalesce("args", F.array().cast("array<string>")).alias("args"))
+    rows = _commands(log)
+    rest = None
     if base is not None:
-        rows = rows.unionByName(as_commands(base).select("seq", F.lit(0).cast("bigint").alias("at_ms"), "cmd", "key", "args"))
-    marked = stage(_classified(rows), "replay-log")
-    kinds = {r["kind"] for r in marked.select("kind").distinct().collect()}  # six at most
-    folded = _fold(marked.filter(F.col("kind").isNotNull()), kinds - {None})
-    if None in kinds:
-        ordered = marked.filter(F.col("kind").isNull()).select("group", "seq", "at_ms", "cmd", "key", "args")
-        folded = folded.unionByName(ordered.groupBy("group").applyInPandas(_replayed, _ROWS))
-    return keyspace_of(stage(folded, "replay-rows"))
+        touched = stage(rows.select(F.explode(F.expr(KEYS)).alias("key")).distinct(), "replay-touched")
+        own, rest = (Keyspace(**{name: rel.join(touched, "key", how) for name, rel in base.relations().items()}) for how in ("left_semi", "left_anti"))
+        rows = rows.unionByName(as_commands(own).select("seq", F.lit(0).cast("bigint").alias("at_ms"), "cmd", "key", "args", F.lit(True).alias("of_base")))
+    tied, told = _classified(rows)
+    told = stage(told, "replay-kinds")
+    kinds = {r["kind"] for r in told.select("kind").distinct().collect()}  # six at most
+    if len(kinds) == 1 and None not in kinds:  # nothing is told apart: one fold over the log as it is
+        got = keyspace_of(_fold(tied.withColumn("kind", F.lit(next(iter(kinds)))), kinds, base is not None))
+    else:
+        marked = stage(tied.join(told, "group"), "replay-log")
+        folded = _fold(marked.filter(F.col("kind").isNotNull()), kinds - {None}, base is not None)
+        if None in kinds:
+            ordered = marked.filter(F.col("kind").isNull()).select("group", "seq", "at_ms", "cmd", "key", "args")
+            folded = folded.unionByName(ordered.groupBy("group").applyInPandas(_replayed, _ROWS))
+        got = keyspace_of(stage(folded, "replay-rows"))
+    if rest is None:
+        return got
+    text = {"strings": "value", "hashes": "value", "lists": "value", "sets": "member"}
+    carried = {name: rel.withColumn(text[name], F.col(text[name]).cast("string")) if name in text else rel for name, rel in rest.relations().items()}
+    return Keyspace(**{name: rel.unionByName(carried[name]) for name, rel in got.relations().items()})
 
 
 def keyspace_of(rows: DataFrame) -> Keyspace:
@@ -200,18 +242,25 @@ def keyspace_of(rows: DataFrame) -> Keyspace:
     )
 
 
-def as_commands(ks: Keyspace) -> DataFrame:
-    """The fewest commands that make ``ks``: a compacted log (seq, cmd, key, args), seq below zero in their order.
+def as_commands(ks: Keyspace, per_command: int = 1) -> DataFrame:
+    """Commands that make ``ks``: (seq, cmd, key, args), seq below zero in their order.
 
-    Long lists are cut into commands of 1000 values, the ends of keys follow as PEXPIREAT.
+    With ``per_command`` above 1 the elements of a key are gathered, about so many a command, as a rewritten log has
+    them. Long lists are always cut into commands of 1000 values, and the ends of keys follow as PEXPIREAT.
     """
     text = lambda c: F.col(c).cast("string")
+
+    def gathered(rel: DataFrame, cmd: str, *parts) -> DataFrame:
+        if per_command <= 1:
+            return rel.select(F.lit(cmd).alias("cmd"), "key", F.lit(0).cast("bigint").alias("o"), F.array(*parts).alias("args"))
+        many = rel.groupBy("key").agg(F.ceil(F.count("*") / F.lit(per_command)).alias("__n"))
+        dealt = rel.join(many, "key").withColumn("__b", F.pmod(F.xxhash64(parts[-1] if cmd != "HSET" else parts[0]), F.col("__n")))
+        return dealt.groupBy("key", "__b").agg(F.flatten(F.collect_list(F.array(*parts))).alias("args")).select(F.lit(cmd).alias("cmd"), "key", F.lit(0).cast("bigint").alias("o"), "args")
+
     parts = [
         ks.strings.select(F.lit("SET").alias("cmd"), "key", F.lit(0).cast("bigint").alias("o"), F.array(text("value")).alias("args")),
-        ks.hashes.select(F.lit("HSET").alias("cmd"), "key", F.lit(0).cast("bigint").alias("o"), F.array("field", text("value")).alias("args")),
-        ks.sets.select(F.lit("SADD").alias("cmd"), "key", F.lit(0).cast("bigint").alias("o"), F.array(text("member")).alias("args")),
-        ks.zsets.select(F.lit("ZADD").alias("cmd"), "key", F.lit(0).cast("bigint").alias("o"), F.array(text("score"), "member").alias("args")),
-    ]
+        gathered(ks.hashes, "HSET", F.col("field"), text("value")), gathered(ks.sets, "SADD", text("member")), gathered(ks.zsets, "ZADD", score_text(F.col("score")), F.col("member")),
+    ]
     place = F.row_number().over(Window.partitionBy("key").orderBy("pos")) - 1
     pushed = ks.lists.withColumn("p", place).groupBy("key", F.floor(F.col("p") / 1000).alias("o")).agg(F.array_sort(F.collect_list(F.struct("p", text("value").alias("v")))).alias("vs"))
     parts.append(pushed.select(F.lit("RPUSH").alias("cmd"), "key", "o", F.transform("vs", lambda x: x["v"]).alias("args")))
@@ -220,4 +269,3 @@ def as_commands(ks: Keyspace) -> DataFrame:
     for p in parts[1:]:
         out = out.unionByName(p)
     return out.select((F.col("o") - F.lit(1 << 41)).alias("seq"), "cmd", "key", "args")
-

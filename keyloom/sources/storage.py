@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import json
+import os
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,16 +31,10 @@ def _read_text(spark: SparkSession, path: str) -> str | None:
         stream.close()
 
 
-def _put_text(spark: SparkSession, path: str, text: str) -> None:
-    """Write beside, then rename over: a reader sees the old text or the new one."""
-    fs, at = _fs(spark, path)
-    _, beside = _fs(spark, path + ".new")
-    out = fs.create(beside, True)
-    out.write(bytearray(text.encode()))
-    out.close()
-    if fs.exists(at):
-        fs.delete(at, False)
-    fs.rename(beside, at)
+def _names(spark: SparkSession, folder: str) -> list[str]:
+    """Names in a folder that may not be there; of a folder with few."""
+    fs, at = _fs(spark, folder)
+    return [f.getPath().getName() for f in fs.listStatus(at)] if fs.exists(at) else []
 
 
 class Snapshots:
@@ -47,7 +44,19 @@ class Snapshots:
         self.spark, self.path = spark, path.rstrip("/")
 
     def manifest(self) -> dict:
-        return json.loads(_read_text(self.spark, f"{self.path}/manifest.json") or '{"version": 0, "seq": null}')
+        """What the last complete manifest says. Each version has a manifest of its own, written beside and then named:
+        no manifest is ever replaced, so a crash at any point leaves the one before."""
+        done = sorted(int(n.split("-")[1].split(".")[0]) for n in _names(self.spark, self.path) if n.startswith("manifest-") and n.endswith(".json"))
+        return json.loads(_read_text(self.spark, f"{self.path}/manifest-{done[-1]:012d}.json")) if done else {"version": 0, "seq": None}
+
+    def _point(self, version: int, about: dict) -> None:
+        fs, beside = _fs(self.spark, f"{self.path}/.manifest-{version:012d}.new")
+        out = fs.create(beside, True)
+        out.write(bytearray(json.dumps(about).encode()))
+        out.close()
+        _, at = _fs(self.spark, f"{self.path}/manifest-{version:012d}.json")
+        if fs.exists(at) or not fs.rename(beside, at):
+            raise RuntimeError(f"version {version} was saved by another writer")
 
     def save(self, ks: Keyspace, seq: int | None = None, now_ms: int | None = None) -> int:
         """Write a new version, without the keys past their time, then point the manifest at it.
@@ -60,7 +69,7 @@ class Snapshots:
         order = {"zsets": ["key", "score"], "lists": ["key", "pos"]}
         for name, rel in ks.relations().items():
             rel.sortWithinPartitions(*order.get(name, ["key"])).write.mode("overwrite").parquet(f"{self.path}/v{version}/{name}")
-        _put_text(self.spark, f"{self.path}/manifest.json", json.dumps({"version": version, "seq": seq}))
+        self._point(version, {"version": version, "seq": seq})
         return version
 
     def load(self, now_ms: int | None = None) -> Keyspace | None:
@@ -73,8 +82,23 @@ class Snapshots:
     def vacuum(self, keep: int = 1) -> None:
         """Remove all versions but the last ``keep``."""
         for v in range(1, self.manifest()["version"] - keep + 1):
-            fs, at = _fs(self.spark, f"{self.path}/v{v}")
-            fs.delete(at, True)
+            for name in (f"manifest-{v:012d}.json", f"v{v}"):
+                fs, at = _fs(self.spark, f"{self.path}/{name}")
+                fs.delete(at, True)
+
+
+#: Snapshot rules as (seconds, changes): a save is due once both have been reached since the last one.
+SAVE_RULES = ((900, 1), (300, 10), (60, 10_000))
+
+
+def save_is_due(changes: int, seconds: float, rules=SAVE_RULES) -> bool:
+    """Whether any rule asks for a snapshot after so many changes and more than so many seconds."""
+    return any(changes >= least and seconds > after for after, least in rules)
+
+
+def rewrite_is_due(log_bytes: int, base_bytes: int, seconds: float, least_bytes: int = 64 << 20, percentage: int = 100, pause: float = 60.0) -> bool:
+    """Whether a log of so many bytes since the last rewrite, which left ``base_bytes``, is to be rewritten."""
+    return seconds >= pause and log_bytes > least_bytes and log_bytes * 100 // max(1, base_bytes) >= percentage
 
 
 def append_log(log: DataFrame, path: str) -> None:
@@ -86,57 +110,151 @@ def read_log(spark: SparkSession, path: str, after: int | None = None) -> DataFr
     return log if after is None else log.filter(F.col("seq") > after)
 
 
-# --- the wire text of commands: *n, then $len and the bytes of each part ---------------------------
+# --- the wire text: simple strings, errors, integers, bulk strings and arrays of them ---------------
+
+
+class WireError(str):
+    """An error reply."""
+
+
+class SimpleString(str):
+    """A status reply."""
+
+
+class _CutOff(Exception):
+    """The data ends within a value."""
+
+
+def encode_value(value) -> bytes:
+    """A value's wire text: None, int, ``SimpleString``, ``WireError``, bytes, str, or a list of these."""
+    if value is None:
+        return b"$-1\r\n"
+    if isinstance(value, int):
+        return b":%d\r\n" % value
+    if isinstance(value, (SimpleString, WireError)):
+        return (b"+" if isinstance(value, SimpleString) else b"-") + value.encode() + b"\r\n"
+    if isinstance(value, (list, tuple)):
+        return b"*%d\r\n" % len(value) + b"".join(map(encode_value, value))
+    raw = value if isinstance(value, bytes) else str(value).encode()
+    return b"$%d\r\n%s\r\n" % (len(raw), raw)
+
+
+def _value(data: bytes, at: int):
+    """The value at ``at`` and where it ends."""
+    end = data.find(b"\r\n", at)
+    if end < 0:
+        raise _CutOff
+    kind, line, after = data[at : at + 1], data[at + 1 : end], end + 2
+    if kind == b"+":
+        return SimpleString(line.decode()), after
+    if kind == b"-":
+        return WireError(line.decode()), after
+    if kind not in (b":", b"$", b"*"):
+        raise ValueError(f"unknown type byte at {at}")
+    n = int(line)
+    if kind == b":":
+        return n, after
+    if n == -1:
+        return None, after
+    if kind == b"$":
+        if after + n + 2 > len(data):
+            raise _CutOff
+        if n < 0 or data[after + n : after + n + 2] != b"\r\n":
+            raise ValueError(f"a string at {at} is not framed by its length")
+        return data[after : after + n], after + n + 2
+    out = []
+    for _ in range(n):
+        item, after = _value(data, after)
+        out.append(item)
+    return out, after
+
+
+def decode_values(data: bytes) -> Iterator:
+    """The values of a wire text in turn; a cut-off last one is left out, anything else malformed raises."""
+    at = 0
+    while at < len(data):
+        try:
+            value, at = _value(data, at)
+        except _CutOff:
+            return
+        yield value
 
 
-def encode_command(cmd: str, key: str, args) -> bytes:
-    parts = [p if isinstance(p, bytes) else str(p).encode() for p in (cmd, key, *(args if args is not None else ()))]
-    return b"*%d\r\n" % len(parts) + b"".join(b"$%d\r\n%s\r\n" % (len(p), p) for p in parts)
+def encode_command(cmd: str, key: str | None, args) -> bytes:
+    parts = [cmd, *([] if key is None else [key]), *(args if args is not None else ())]
+    return encode_value([p if isinstance(p, bytes) else str(p) for p in parts])
 
 
 def decode_commands(data: bytes) -> Iterator[list[bytes]]:
-    """The commands of a log file; a cut-off last one is left out, anything else malformed raises."""
-    at = 0
-    while at < len(data):
-        if data[at : at + 1] != b"*":
-            raise ValueError(f"unknown type byte at {at}")
-        end = data.find(b"\r\n", at)
-        if end < 0:
-            return
-        count, at, parts = int(data[at + 1 : end]), end + 2, []
-        for _ in range(count):
-            end = data.find(b"\r\n", at)
-            if end < 0:
-                return
-            if data[at : at + 1] != b"$":
-                raise ValueError(f"unknown type byte at {at}")
-            n = int(data[at + 1 : end])
-            if end + 4 + n > len(data):
-                return
-            parts.append(data[end + 2 : end + 2 + n])
-            at = end + 4 + n
-        yield parts
+    """The commands of a log file: arrays of bulk strings. A cut-off last one is left out, anything else raises."""
+    for value in decode_values(data):
+        if not isinstance(value, list) or not value or not all(isinstance(p, bytes) for p in value):
+            raise ValueError("a log holds commands only")
+        yield value
+
 
+def write_wire_log(log: DataFrame, path: str) -> DataFrame:
+    """Export a log (seq, cmd, key, args) as files of wire text below ``path``; (file, commands, bytes), a row per file.
 
-def write_wire_log(log: DataFrame, path: str) -> None:
-    """Export a log (seq, cmd, key, args) as files of wire text, in the order of seq within and across files."""
+    ``seq`` ascends within a file and over the files in the order of their names. Each attempt of a task writes files
+    of its own, and the manifest, written last, names those that count. ``path`` is a folder that all tasks mount.
+    """
+    from .staging import stage
 
-    @F.pandas_udf("binary")
-    def encoded(cmd: pd.Series, key: pd.Series, args: pd.Series) -> pd.Series:
-        return pd.Series([encode_command(c, k, a) for c, k, a in zip(cmd, key, args)])
+    spark = log.sparkSession
+    fs, at = _fs(spark, path)
+    uri = fs.makeQualified(at).toUri().toString()
+    if not uri.startswith("file:"):
+        raise ValueError(f"tasks cannot write to {uri}")
+    folder = "/" + uri.removeprefix("file:").lstrip("/")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task = TaskContext.get()
+        name, count, size = f"log-{task.partitionId():06d}-{task.taskAttemptId():012d}.aof", 0, 0
+        out = None
+        for b in batches:
+            for cmd, key, args in zip(*(b.column(c).to_pylist() for c in range(3))):
+                if out is None:
+                    os.makedirs(folder, exist_ok=True)
+                    out = open(f"{folder}/{name}", "wb")
+                count, size = count + 1, size + out.write(encode_command(cmd, key, args))
+        if out:
+            out.close()
+            yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([count], pa.int64()), pa.array([size], pa.int64())], names=["file", "commands", "bytes"])
 
-    lines = log.repartitionByRange("seq").sortWithinPartitions("seq").select("seq", encoded("cmd", "key", "args").alias("wire"))
-    lines.write.mode("overwrite").parquet(path)
+    lines = log.repartitionByRange("seq").sortWithinPartitions("seq").select("cmd", "key", "args")
+    files = stage(lines.mapInArrow(run, "file string, commands long, bytes long"), "wire-files")
+    files.coalesce(1).write.mode("overwrite").json(f"{path}/_manifest")
+    return files
 
 
 def read_wire_files(spark: SparkSession, path: str) -> DataFrame:
-    """Files of wire text as (file, n, cmd, key, args): ``n`` counts the commands of a file."""
+    """Files of wire text as (file, n, cmd, key, args): ``n`` counts the commands of a file.
+
+    Of a folder with a manifest only the files it names are read. Bytes that are no UTF-8 come out as latin-1 text.
+    """
+
+    def text(x: bytes) -> str:
+        try:
+            return x.decode()
+        except UnicodeDecodeError:
+            return x.decode("latin-1")
 
     def parsed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for name, content in zip(b["path"], b["content"]):
-                rows = [(name, n, p[0].decode().upper(), p[1].decode() if len(p) > 1 else None, [x.decode("utf-8", "surrogateescape").encode("utf-8", "replace").decode() for x in p[2:]]) for n, p in enumerate(decode_commands(bytes(content)))]
+                rows = [(name, n, p[0].decode().upper(), text(p[1]) if len(p) > 1 else None, [text(x) for x in p[2:]]) for n, p in enumerate(decode_commands(bytes(content)))]
                 yield pd.DataFrame(rows, columns=["file", "n", "cmd", "key", "args"])
 
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.aof").load(path).select("path", "content")
+    if _names(spark, f"{path}/_manifest"):
+        named = spark.read.schema("file string").json(f"{path}/_manifest")
+        files = files.join(named, F.substring_index("path", "/", -1) == F.col("file"), "left_semi")
     return files.mapInPandas(parsed, "file string, n long, cmd string, key string, args array<string>")
+
+
+def rewrite_log(ks: Keyspace, path: str, now_ms: int | None = None) -> DataFrame:
+    """The least log that makes ``ks``, without the keys past their time, as files of wire text: a command a key, long containers in several."""
+    from ..plans.replay import as_commands
+
+    return write_wire_log(as_commands(ks if now_ms is None else ks.live(now_ms), per_command=1000), path)
