@@ -1,46 +1,13 @@
-"""Connected components of an edge table, by alternating large-star and small-star steps.
-
-Edges are rewired towards the smallest id they know until nothing changes; the number of rounds grows
-with the logarithm of the components' size. Every round is staged in the shared folder, so nothing of
-the graph comes to the driver and a lost executor repeats one round at most.
-"""
+"""Connected components of an edge table, staged as this subpackage stages its tables."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
+from ..operators import components
 from .common import stage
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
-    """Each neighbour larger than a node moves to the smallest node of that neighbourhood."""
-    both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("low"))
-    return both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("low").alias("v")).filter("u != v").distinct()
-
-
-def _small_star(edges: DataFrame) -> DataFrame:
-    """Each node's smaller neighbours, and the node itself, move to the smallest of them."""
-    down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    low = down.groupBy("u").agg(F.min("v").alias("low"))
-    moved = down.join(low, "u").select(F.col("v").alias("u"), F.col("low").alias("v"))
-    return moved.unionByName(low.select("u", F.col("low").alias("v"))).filter("u != v").distinct()
-
-
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """``edges`` (u long, v long), any direction, repeats and loops allowed -> (node, component).
-
-    Only nodes with an edge to another node are returned; component is the smallest node reachable.
-    Raises if ``max_rounds`` do not suffice rather than returning unfinished components.
-    """
-    now = stage(edges.select("u", "v").filter("u != v").distinct(), "components-0")
-    mark = None
-    for k in range(max_rounds):
-        now = stage(_small_star(_large_star(now)), f"components-{k + 1}")
-        # At rest every component is a star; the sum over a fixed hash tells whether a round changed anything.
-        seen = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        if seen == mark:
-            return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct()
-        mark = seen
-    raise RuntimeError("components did not settle")
+    """``edges`` (u long, v long), any direction, repeats and loops allowed -> (node, component); see ``operators.components``."""
+    return components.connected_components(edges, stage, max_rounds)
