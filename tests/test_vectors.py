@@ -235,3 +235,15 @@ def test_model_vectors():
     assert run("SET", "s", "w", "NX") is None and run("SET", "t", "x", "EX", "1", now_ms=0) == "OK" and run("GET", "t", now_ms=1000) == "x" and run("GET", "t", now_ms=1001) is None
     assert run("ZUNIONSTORE", "u", "2", "z", "none", "WEIGHTS", "2", "3") == 3 and run("ZSCORE", "u", "A") == 20
     assert run("SETBIT", "b", "7", "1") == 0 and run("BITCOUNT", "b") == 1 and run("BITPOS", "b", "1") == 7
+
+
+def test_components_with_hubs(spark, monkeypatch):
+    from keyloom.operators import components
+    from keyloom.sources.staging import stage
+
+    rows = [(0, i) for i in range(1, 60)] + [(100 + i, 101 + i) for i in range(70)] + [(59, 500), (500, 501), (7, 7)]
+    edges = spark.createDataFrame(rows, "u long, v long")
+    want = {**{i: 0 for i in [*range(60), 500, 501]}, **{100 + i: 100 for i in range(71)}}
+    for hub in (components.HUB, 5):
+        monkeypatch.setattr(components, "HUB", hub)
+        assert {r["node"]: r["component"] for r in components.connected_components(edges, stage).collect()} == want
