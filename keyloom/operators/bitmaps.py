@@ -85,7 +85,8 @@ def to_bytes(bits: DataFrame, sizes: DataFrame) -> DataFrame:
     value = F.sum(F.expr("shiftleft(1, cast(7 - bit % 8 as int))")).cast("int")
     bytes_ = bits.groupBy("key", (F.col("bit") / 8).cast("long").alias("__byte")).agg(value.alias("__v"))
     parts = bytes_.groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("__byte", F.lpad(F.hex("__v"), 2, "0")))).alias("__m"))
-    text = F.array_join(F.transform(F.expr("sequence(0L, nbytes - 1)"), lambda i: F.coalesce(F.try_element_at("__m", i), F.lit("00"))), "")
+    places = F.when(F.col("nbytes") > 0, F.expr("sequence(0L, greatest(nbytes, 1) - 1)")).otherwise(F.array().cast("array<bigint>"))
+    text = F.array_join(F.transform(places, lambda i: F.coalesce(F.try_element_at("__m", i), F.lit("00"))), "")
     return sizes.join(parts, "key", "left").withColumn("__m", F.coalesce("__m", F.create_map().cast("map<bigint,string>"))).select("key", F.unhex(text).alias("value"))
 
 
