@@ -38,12 +38,28 @@ from .common import stage
 
 END_ID = 1
 #: Entries that a worker's token cache holds at most before it starts anew, and the longest chunk it keeps. No effect on results.
-CACHE_ENTRIES = 500_000
+CACHE_ENTRIES = 300_000
 CACHED_CHARS = 48
 
 _LATIN_WORD = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)\\Z")
 
 
+class _Cache(dict):
+    """What ``make`` gives for a key, kept for short keys; started anew when it is full."""
+
+    def __init__(self, make):
+        super().__init__()
+        self.make = make
+
+    def __missing__(self, key: str) -> bytes:
+        value = self.make(key)
+        if len(key) <= CACHED_CHARS:  # chunks without a space can be as long as a text: these are not kept
+            if len(self) >= CACHE_ENTRIES:
+                self.clear()
+            self[key] = value
+        return value
+
+
 class ChunkTokenizer:
     """Token ids of whole texts as little-endian unsigned 32-bit bytes, through a cache of chunks.
 
@@ -63,41 +79,26 @@ class ChunkTokenizer:
             if b not in names:
                 names[b] = chr(256 + b - sum(x < b for x in direct))
         self.bytes_as_letters = str.maketrans({chr(k): v for k, v in names.items()})
-        self.chunks: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
+        self.chunks, self.words = _Cache(self._chunk), _Cache(self._word)
 
     def _full(self, chunk: str) -> bytes:
         ids = self.full.encode(chunk, add_special_tokens=False).ids
         return struct.pack(f"<{len(ids)}I", *ids)
 
     def _word(self, word: str) -> bytes:
-        if (got := self.words.get(word)) is None:
-            if len(self.words) >= CACHE_ENTRIES:
-                self.words.clear()
-            ids = [t.id for t in self.model.tokenize(word.encode().decode("latin-1").translate(self.bytes_as_letters))]
-            got = struct.pack(f"<{len(ids)}I", *ids)
-            if len(word) <= CACHED_CHARS:
-                self.words[word] = got
-        return got
+        if not word.isascii():  # ASCII letters and marks stand for themselves
+            word = word.encode().decode("latin-1").translate(self.bytes_as_letters)
+        ids = [t.id for t in self.model.tokenize(word)]
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def _chunk(self, chunk: str) -> bytes:
         m = _LATIN_WORD.match(chunk)
         if not m:
             return self._full(chunk)
-        return self._word(m[1].lower()) + (self._word(m[2]) if m[2] else b"")
+        return self.words[m[1].lower()] + self.words[m[2]] if m[2] else self.words[m[1].lower()]
 
     def encode(self, text: str) -> bytes:
-        chunks, known = text.replace("\n", " ").split(" "), self.chunks
-        try:
-            return b"".join(map(known.__getitem__, chunks))
-        except KeyError:
-            if len(known) >= CACHE_ENTRIES:
-                known.clear()
-            long: dict[str, bytes] = {}  # chunks without a space can be as long as a text: these are not kept
-            for c in set(chunks):
-                if c not in known:
-                    (known if len(c) <= CACHED_CHARS else long)[c] = self._chunk(c)
-            return b"".join([known[c] if c in known else long[c] for c in chunks])
+        return b"".join(map(self.chunks.__getitem__, text.replace("\n", " ").split(" ")))
 
 
 @functools.lru_cache(1)
