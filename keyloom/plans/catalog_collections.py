@@ -145,6 +145,15 @@ def brpoplpush(spark, sf_dir):
     return lists.rpoplpush(t.queues(spark, sf_dir), moves).reply
 
 
+@query(f"""WITH {Q}, m AS (SELECT DISTINCT user_id, 'q:' || user_id AS src FROM events), o AS (SELECT *, {HEAD} AS place, {TAIL} AS back FROM l),
+  n AS (SELECT 'done:' || (user_id % 5) AS key, row_number() OVER (PARTITION BY user_id % 5 ORDER BY user_id DESC) AS place, value FROM m JOIN o ON src = key WHERE back = 1)
+  SELECT key, place - 1 AS place, value FROM o WHERE back > 1 UNION ALL SELECT key, place - 1, value FROM n""")
+def brpoplpush_state(spark, sf_dir):
+    users = t.read(spark, sf_dir, "events").select("user_id").distinct()
+    moves = users.select(t.named("q:", "user_id").alias("src"), F.expr("concat('done:', user_id % 5)").alias("dest"), F.col("user_id").alias("seq"))
+    return lists.lrange(lists.rpoplpush(t.queues(spark, sf_dir), moves).state, 0, -1).select("key", "place", "value")
+
+
 # --- sets -----------------------------------------------------------------------------------------
 
 
@@ -230,6 +239,16 @@ def smove(spark, sf_dir):
     return sets.smove(s, moves).reply
 
 
+@query(f"""WITH {ACT}, m AS (SELECT DISTINCT replace(key, 'click', 'view') AS dest, key AS src FROM s WHERE key LIKE 'active:click:%'),
+  d AS (SELECT m.src, m.dest, s.member FROM m CROSS JOIN (VALUES ('1'), ('77'), ('none')) v(member) JOIN s ON s.key = m.src AND s.member = v.member)
+  SELECT key, member FROM s WHERE (key, member) NOT IN (SELECT (src, member) FROM d) UNION SELECT dest, member FROM d""")
+def smove_state(spark, sf_dir):
+    s = t.active(spark, sf_dir)
+    src = s.select(F.col("key").alias("src")).distinct().filter("src LIKE 'active:click:%'")
+    moves = src.select("src", F.expr("replace(src, 'click', 'view')").alias("dest"), F.explode(F.array(F.lit("1"), F.lit("77"), F.lit("none"))).alias("member"))
+    return sets.smove(s, moves).state.select("key", "member")
+
+
 DRAW = "row_number() OVER (PARTITION BY key ORDER BY md5('{}|' || key || '|' || member), member)"
 
 

@@ -85,6 +85,24 @@ def append(spark, sf_dir):
     return strings.append(t.documents(spark, sf_dir), w).reply
 
 
+@query(f"""WITH {STR}, w AS (SELECT 'doc:' || user_id AS key, string_agg(event_type, '' ORDER BY event_id) AS tail FROM events GROUP BY 1)
+  SELECT coalesce(s.key, w.key) AS key, md5(CASE WHEN tail IS NULL THEN value ELSE coalesce(value, '') || tail END) AS digest FROM s FULL JOIN w ON s.key = w.key""")
+def append_state(spark, sf_dir):
+    w = t.read(spark, sf_dir, "events").select(t.named("doc:", "user_id").alias("key"), F.col("event_type").alias("value"), F.col("event_id").alias("seq"))
+    return strings.append(t.documents(spark, sf_dir), w).state.select("key", F.md5("value").alias("digest"))
+
+
+@query(f"WITH {STR}, {SETS} SELECT key, md5(value) AS digest FROM s UNION ALL SELECT key, md5(first) FROM w WHERE key NOT IN (SELECT key FROM s)")
+def setnx_state(spark, sf_dir):
+    s = t.documents(spark, sf_dir)
+    return strings.setnx(s, s.select("key"), _sets(spark, sf_dir)).state.select("key", F.md5("value").alias("digest"))
+
+
+@query(f"WITH {STR}, {SETS} SELECT s.key, md5(coalesce(w.value, s.value)) AS digest FROM s LEFT JOIN w ON s.key = w.key")
+def set_xx_state(spark, sf_dir):
+    return strings.set_values(t.documents(spark, sf_dir), _sets(spark, sf_dir), "XX").state.select("key", F.md5("value").alias("digest"))
+
+
 @query(f"WITH {STR}, {ASK} SELECT k.key, coalesce(octet_length(encode(value)), 0)::INTEGER AS length FROM k LEFT JOIN s ON k.key = s.key")
 def strlen(spark, sf_dir):
     return strings.strlen(t.documents(spark, sf_dir), _asked(spark, sf_dir))
@@ -137,6 +155,13 @@ def _expire(option: str, sql: str):
         return keys.expire(t.sessions(spark, sf_dir), asked, NOW, option).reply
 
 
+@query(f"WITH {TTL} SELECT key, type, {NOW} + (CAST(substr(key, 6) AS BIGINT) % 20) * 43200000 AS expire_at FROM a")
+def expire_state(spark, sf_dir):
+    """Plain EXPIRE; what is due at once lives through this millisecond."""
+    asked = t.read(spark, sf_dir, "events").select(t.named("sess:", "event_id").alias("key"), ((F.col("event_id") % 20) * 43200).alias("seconds"))
+    return keys.expire(t.sessions(spark, sf_dir), asked, NOW).state.select("key", "type", "expire_at")
+
+
 _expire("NX", "expire_at IS NULL")
 _expire("XX", "expire_at IS NOT NULL")
 _expire("GT", "expire_at IS NOT NULL AND new > expire_at")
@@ -165,6 +190,11 @@ def persist(spark, sf_dir):
     return keys.persist(t.sessions(spark, sf_dir), _sessions(spark, sf_dir), NOW).reply
 
 
+@query(f"WITH {TTL} SELECT key, type, CAST(NULL AS BIGINT) AS expire_at FROM a")
+def persist_state(spark, sf_dir):
+    return keys.persist(t.sessions(spark, sf_dir), _sessions(spark, sf_dir), NOW).state.select("key", "type", "expire_at")
+
+
 @query(f"WITH {TTL} SELECT type, count(*) AS keys, count(expire_at) AS expires FROM a GROUP BY type")
 def keyspace_stats(spark, sf_dir):
     return keys.statistics(t.sessions(spark, sf_dir), NOW)

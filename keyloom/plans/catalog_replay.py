@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from ..registry import query
 from ..sources import tables as t
+from ..sources.staging import fresh_path
+from ..sources.storage import Snapshots
 from ..streaming import counters
 from .replay import replay
 
@@ -60,7 +62,37 @@ def replay_pushes(spark, sf_dir):
     return lrange(replay(_log(spark, sf_dir, "l:").filter("cmd = 'RPUSH'")).lists, 0, -1).select("key", "place", "value")
 
 
+@query("""WITH f AS (SELECT user_id, min(event_id) FILTER (event_type = 'click') AS first, max(event_id) FILTER (event_type = 'click') AS last, max(event_id) FILTER (event_type = 'purchase') AS moved FROM events GROUP BY 1)
+  SELECT 'in:' || (user_id % 50) AS key, user_id::VARCHAR AS member FROM f WHERE last IS NOT NULL AND (moved IS NULL OR last > moved)
+  UNION ALL SELECT 'out:' || (user_id % 50), user_id::VARCHAR FROM f WHERE moved > first""")
+def replay_multikey(spark, sf_dir):
+    """A click puts a user into a set, and a purchase moves them to another, if they are there."""
+    e = t.read(spark, sf_dir, "events").filter("event_type IN ('click', 'purchase')")
+    user, place = F.col("user_id").cast("string"), F.expr("user_id % 50").cast("string")
+    click = F.col("event_type") == "click"
+    args = F.when(click, F.array(user)).otherwise(F.array(F.concat(F.lit("out:"), place), user))
+    return replay(e.select(F.col("event_id").alias("seq"), "ts", F.when(click, "SADD").otherwise("SMOVE").alias("cmd"), F.concat(F.lit("in:"), place).alias("key"), args.alias("args"))).sets
+
+
+@query("SELECT 'z:' || (user_id % 10) AS key, 'u' || user_id AS member, CAST(sum(CAST(round(value * 10000) AS BIGINT)) AS DOUBLE) AS score FROM events WHERE event_type = 'view' GROUP BY ALL")
+def replay_snapshot_tail(spark, sf_dir):
+    """The first half of a log as a saved snapshot, and the rest replayed onto it."""
+    log = _log(spark, sf_dir, "z:")
+    half = (log.agg(F.max("seq")).first()[0] or 0) // 2
+    shots = Snapshots(spark, fresh_path(spark, "snapshots"))
+    shots.save(replay(log.filter(F.col("seq") <= half)), seq=half)
+    return replay(log.filter(F.col("seq") > shots.manifest()["seq"]), shots.load()).zsets
+
+
 @query("SELECT 'cnt:' || event_type AS key, ts::DATE AS day, count(*) AS count, CAST(sum(CAST(floor(value) AS BIGINT)) AS BIGINT) AS total FROM events GROUP BY ALL")
 def stream_counters(spark, sf_dir):
     """The daily counters that the stream ends with, once it has read all there is."""
     return counters.daily_counters_of_table(spark, sf_dir)
+
+
+@query("SELECT 'spend:' || event_type AS key, 'u' || user_id AS member, CAST(sum(CAST(round(value * 10000) AS BIGINT)) AS DOUBLE) / 10000::DOUBLE AS score FROM events GROUP BY ALL")
+def stream_leaderboard(spark, sf_dir):
+    """The sorted sets that a stream of increments ends with."""
+    where = fresh_path(spark, "leaderboard")
+    counters.leaderboard_batches(counters.read_events(spark, sf_dir), f"{where}/sums", f"{where}/log").awaitTermination()
+    return counters.leaderboard(spark, f"{where}/sums")
