@@ -112,3 +112,81 @@ def expiring_values(rows: DataFrame) -> DataFrame:
     """SET with EX over a stream of the same shape; kinds are ignored."""
     rows.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)
     return rows.groupBy("key").transformWithStateInPandas(statefulProcessor=ExpiringValue(), outputStructType=OUT, outputMode="append", timeMode="eventTime")
+
+
+OUT_LISTS = StructType(
+    [StructField("key", StringType()), StructField("wait_seq", LongType()), StructField("list", StringType()), StructField("item_seq", LongType()), StructField("value", StringType()), StructField("target", StringType()), StructField("outcome", StringType())]
+)
+
+
+class BlockingLists(StatefulProcessor):
+    """Lists that belong together: clients that wait on several, and moves that wake those who wait on their target.
+
+    Input rows (key, seq, ts_ms, kind, lists array, value, target, timeout_ms). ``push-left`` and ``push-right`` put
+    the value on the first of ``lists``; ``pop-left`` and ``pop-right`` take from the first of ``lists`` that has an
+    item, or wait on all of them; with a ``target`` what is taken goes to its head, which may wake another client, whose
+    own target may wake a third. State is the items and the waiting clients of all lists of ``key``.
+    """
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.items = handle.getListState("items", "list string, seq bigint, value string")
+        self.waiters = handle.getListState("waiters", "seq bigint, deadline bigint, kind string, lists array<string>, target string")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        lists: dict[str, list[tuple]] = {}
+        for name, seq, value in self.items.get():
+            lists.setdefault(name, []).append((seq, value))
+        waiters, out = [tuple(w) for w in self.waiters.get()], []
+        for r in pd.concat(list(rows)).sort_values("seq").itertuples():
+            out += [_timed_out(key, w) for w in waiters if w[1] < r.ts_ms]
+            waiters = [w for w in waiters if w[1] >= r.ts_ms]
+            names = [str(x) for x in r.lists]
+            if r.kind.startswith("push"):
+                own = lists.setdefault(names[0], [])
+                own.insert(0 if r.kind == "push-left" else len(own), (int(r.seq), r.value))
+                woken = names[:1]
+            else:
+                waiters.append((int(r.seq), NEVER if r.timeout_ms == 0 else int(r.ts_ms + r.timeout_ms), r.kind, names, None if pd.isna(r.target) else r.target))
+                woken = [n for n in names if lists.get(n)][:1]
+            while woken:  # a move wakes the clients of its target before any other row counts
+                name = woken.pop(0)
+                while lists.get(name) and (w := next((w for w in waiters if name in w[3]), None)):
+                    waiters.remove(w)
+                    item = lists[name].pop(0 if w[2] == "pop-left" else -1)
+                    out.append((key[0], w[0], name, item[0], item[1], w[4], "match"))
+                    if w[4] is not None:
+                        lists.setdefault(w[4], []).insert(0, item)
+                        woken.append(w[4])
+        self._keep([(n, s, v) for n, own in lists.items() for s, v in own], waiters)
+        for deadline in {w[1] for w in waiters if w[1] < NEVER}:
+            self.handle.registerTimer(deadline + 1)
+        yield _list_frame(out)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now, waiters = expiredTimerInfo.getExpiryTimeInMs(), [tuple(w) for w in self.waiters.get()]
+        self._keep([tuple(i) for i in self.items.get()], [w for w in waiters if w[1] >= now])
+        yield _list_frame([_timed_out(key, w) for w in waiters if w[1] < now])
+
+    def _keep(self, items, waiters) -> None:
+        for state, rows in ((self.items, items), (self.waiters, waiters)):
+            state.clear()
+            if rows:
+                state.put(rows)
+
+    def close(self) -> None:
+        pass
+
+
+def _timed_out(key, waiter) -> tuple:
+    return key[0], waiter[0], None, None, None, waiter[4], "timeout"
+
+
+def _list_frame(rows: list[tuple]) -> pd.DataFrame:
+    return pd.DataFrame(rows, columns=OUT_LISTS.names).astype({"wait_seq": "Int64", "item_seq": "Int64"})
+
+
+def match_lists(rows: DataFrame) -> DataFrame:
+    """``rows``: a stream of ``BlockingLists`` rows with a watermark on ts; lists that a command ties together share ``key``."""
+    rows.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)
+    return rows.groupBy("key").transformWithStateInPandas(statefulProcessor=BlockingLists(), outputStructType=OUT_LISTS, outputMode="append", timeMode="eventTime")
