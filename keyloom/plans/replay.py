@@ -202,35 +202,46 @@ def unknown_commands(log: DataFrame) -> DataFrame:
     return log.select(F.upper("cmd").alias("cmd")).filter(~F.col("cmd").isin(known)).groupBy("cmd").agg(F.count("*").alias("count"))
 
 
+def _folded(rows: DataFrame, with_base: bool) -> Keyspace:
+    """The keyspace that ``rows`` (of ``_commands``) make."""
+    tied, told = _classified(rows)
+    told = stage(told, "replay-kinds")
+    kinds = {r["kind"] for r in told.select("kind").distinct().collect()}  # six at most
+    if len(kinds) == 1 and None not in kinds:  # nothing is told apart: one fold over the log as it is
+        return keyspace_of(_fold(tied.withColumn("kind", F.lit(next(iter(kinds)))), kinds, with_base))
+    marked = stage(tied.join(told, "group"), "replay-log")
+    folded = _fold(marked.filter(F.col("kind").isNotNull()), kinds - {None}, with_base)
+    if None in kinds:
+        ordered = marked.filter(F.col("kind").isNull()).select("group", "seq", "at_ms", "cmd", "key", "args")
+        folded = folded.unionByName(ordered.groupBy("group").applyInPandas(_replayed, _ROWS))
+    return keyspace_of(stage(folded, "replay-rows"))
+
+
+def replay_onto(log: DataFrame, base: Keyspace) -> tuple[DataFrame, Keyspace]:
+    """The keys (key) that ``log`` touches, and what they hold once it is replayed onto ``base``; nothing else is read into the fold."""
+    rows = _commands(log)
+    touched = stage(rows.select(F.explode(F.expr(KEYS)).alias("key")).distinct(), "replay-touched")
+    own = Keyspace(**{name: rel.join(touched, "key", "left_semi") for name, rel in base.relations().items()})
+    before = as_commands(own).select("seq", F.lit(0).cast("bigint").alias("at_ms"), "cmd", "key", "args", F.lit(True).alias("of_base"))
+    return touched, _folded(rows.unionByName(before), True)
+
+
 def replay(log: DataFrame, base: Keyspace | None = None) -> Keyspace:
     """Fold ``log`` (seq, ts, cmd, key, args array<string>) into a keyspace, from ``base`` if there is one.
 
     Text is the storage type here; binary strings travel as latin-1 text. Of a ``base`` the keys that the
     log touches are written out as commands before the log's own, and the others are carried over.
     """
-    rows = _commands(log)
-    rest = None
-    if base is not None:
-        touched = stage(rows.select(F.explode(F.expr(KEYS)).alias("key")).distinct(), "replay-touched")
-        own, rest = (Keyspace(**{name: rel.join(touched, "key", how) for name, rel in base.relations().items()}) for how in ("left_semi", "left_anti"))
-        rows = rows.unionByName(as_commands(own).select("seq", F.lit(0).cast("bigint").alias("at_ms"), "cmd", "key", "args", F.lit(True).alias("of_base")))
-    tied, told = _classified(rows)
-    told = stage(told, "replay-kinds")
-    kinds = {r["kind"] for r in told.select("kind").distinct().collect()}  # six at most
-    if len(kinds) == 1 and None not in kinds:  # nothing is told apart: one fold over the log as it is
-        got = keyspace_of(_fold(tied.withColumn("kind", F.lit(next(iter(kinds)))), kinds, base is not None))
-    else:
-        marked = stage(tied.join(told, "group"), "replay-log")
-        folded = _fold(marked.filter(F.col("kind").isNotNull()), kinds - {None}, base is not None)
-        if None in kinds:
-            ordered = marked.filter(F.col("kind").isNull()).select("group", "seq", "at_ms", "cmd", "key", "args")
-            folded = folded.unionByName(ordered.groupBy("group").applyInPandas(_replayed, _ROWS))
-        got = keyspace_of(stage(folded, "replay-rows"))
-    if rest is None:
-        return got
+    if base is None:
+        return _folded(_commands(log), False)
+    touched, got = replay_onto(log, base)
+    return got.with_(**{name: rel.unionByName(other) for (name, rel), other in zip(got.relations().items(), as_text(base.without(touched)).relations().values())})
+
+
+def as_text(ks: Keyspace) -> Keyspace:
+    """``ks`` with text for binary values."""
     text = {"strings": "value", "hashes": "value", "lists": "value", "sets": "member"}
-    carried = {name: rel.withColumn(text[name], F.col(text[name]).cast("string")) if name in text else rel for name, rel in rest.relations().items()}
-    return Keyspace(**{name: rel.unionByName(carried[name]) for name, rel in got.relations().items()})
+    return ks.with_(**{name: getattr(ks, name).withColumn(c, F.col(c).cast("string")) for name, c in text.items()})
 
 
 def keyspace_of(rows: DataFrame) -> Keyspace:

@@ -60,6 +60,10 @@ class Keyspace:
         gone = self.meta.filter(F.col("expire_at") < now_ms).select("key")
         return Keyspace(meta, *(getattr(self, r).join(gone, "key", "left_anti") for r in self.TYPES.values()))
 
+    def without(self, keys: DataFrame) -> Keyspace:
+        """Without ``keys`` (key)."""
+        return Keyspace(**{name: rel.join(keys, "key", "left_anti") for name, rel in self.relations().items()})
+
     def of_wrong_type(self, requests: DataFrame, expected: str) -> DataFrame:
         """``requests`` (key, ...) whose key holds another type, with ``error``."""
         other = self.meta.filter(F.col("type") != expected).select("key")

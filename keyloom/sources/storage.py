@@ -38,7 +38,13 @@ def _names(spark: SparkSession, folder: str) -> list[str]:
 
 
 class Snapshots:
-    """Versions of a keyspace below ``path``; the manifest names the current one and the log position it holds."""
+    """Versions of a keyspace below ``path``; the manifest names the layers of the current one and the log position it holds.
+
+    A version is a whole keyspace, or a layer: the keys that changed and what they hold now. A version's content is
+    its last whole keyspace with the layers since over it; after ``LAYERS`` of them a whole one is written again.
+    """
+
+    LAYERS = 8
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
@@ -66,22 +72,44 @@ class Snapshots:
         """
         ks = ks if now_ms is None else ks.live(now_ms)
         version = self.manifest()["version"] + 1
+        self._write(ks, version)
+        self._point(version, {"version": version, "seq": seq, "layers": [version]})
+        return version
+
+    def append(self, touched: DataFrame, ks: Keyspace, seq: int | None = None) -> int:
+        """Write a layer: ``touched`` (key) hold what they hold in ``ks`` and nothing else, all other keys are as before."""
+        about = self.manifest()
+        if not about["version"]:
+            return self.save(ks, seq)
+        version = about["version"] + 1
+        self._write(ks, version)
+        touched.select("key").distinct().write.mode("overwrite").parquet(f"{self.path}/v{version}/touched")
+        self._point(version, {"version": version, "seq": seq, "layers": [*about["layers"], version]})
+        return self.save(self.load(), seq) if len(about["layers"]) >= self.LAYERS else version
+
+    def _write(self, ks: Keyspace, version: int) -> None:
         order = {"zsets": ["key", "score"], "lists": ["key", "pos"]}
         for name, rel in ks.relations().items():
             rel.sortWithinPartitions(*order.get(name, ["key"])).write.mode("overwrite").parquet(f"{self.path}/v{version}/{name}")
-        self._point(version, {"version": version, "seq": seq})
-        return version
 
     def load(self, now_ms: int | None = None) -> Keyspace | None:
-        version = self.manifest()["version"]
-        if not version:
+        about = self.manifest()
+        if not about["version"]:
             return None
-        ks = Keyspace(**{name: self.spark.read.parquet(f"{self.path}/v{version}/{name}") for name in ("meta", "strings", "hashes", "lists", "sets", "zsets")})
+        read = lambda v, name: self.spark.read.parquet(f"{self.path}/v{v}/{name}")
+        whole = lambda v: Keyspace(**{name: read(v, name) for name in ("meta", "strings", "hashes", "lists", "sets", "zsets")})
+        *below, top = about["layers"]
+        ks, over = whole(top), None
+        for v in reversed(below):  # from the newest down: a layer shows where none above it has touched
+            changed = read(v + 1, "touched") if over is None else over.unionByName(read(v + 1, "touched")).distinct()
+            ks = ks.with_(**{name: rel.unionByName(shown) for (name, rel), shown in zip(ks.relations().items(), whole(v).without(changed).relations().values())})
+            over = changed
         return ks if now_ms is None else ks.live(now_ms)
 
     def vacuum(self, keep: int = 1) -> None:
-        """Remove all versions but the last ``keep``."""
-        for v in range(1, self.manifest()["version"] - keep + 1):
+        """Remove all versions but the last ``keep`` and those that the current one is made of."""
+        about = self.manifest()
+        for v in sorted(set(range(1, about["version"] - keep + 1)) - set(about.get("layers", []))):
             for name in (f"manifest-{v:012d}.json", f"v{v}"):
                 fs, at = _fs(self.spark, f"{self.path}/{name}")
                 fs.delete(at, True)

@@ -48,11 +48,11 @@ def daily_counters_of_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def follow_log(log: DataFrame, keyspace_path: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:
-    """Replication by log: each micro-batch is folded onto the last snapshot and saved as the next version.
+    """Replication by log: of each micro-batch the keys it touches are folded onto the last snapshot and saved as a layer over it.
 
     A batch at or before the manifest's position was applied before a restart and is skipped.
     """
-    from ..plans.replay import replay
+    from ..plans.replay import replay, replay_onto
     from ..sources.storage import Snapshots
 
     def put(batch: DataFrame, epoch: int) -> None:
@@ -61,7 +61,8 @@ def follow_log(log: DataFrame, keyspace_path: str, checkpoint: str, available_no
         fresh = batch if done is None else batch.filter(F.col("seq") > done)
         last = fresh.agg(F.max("seq")).first()[0]
         if last is not None:
-            shots.save(replay(fresh, shots.load()), last)
+            base = shots.load()
+            shots.save(replay(fresh), last) if base is None else shots.append(*replay_onto(fresh, base), last)
 
     writer = log.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
