@@ -23,14 +23,16 @@ from __future__ import annotations
 
 import functools
 import random
-import re
 import struct
+import sys
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,10 +40,18 @@ from .common import stage
 
 END_ID = 1
 #: Entries that a worker's token cache holds at most before it starts anew, and the longest chunk it keeps. No effect on results.
-CACHE_ENTRIES = 300_000
+CACHE_ENTRIES = 500_000
 CACHED_CHARS = 48
 
-_LATIN_WORD = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)\\Z")
+_LATIN = "^[A-Za-zÀ-ÖØ-öø-ÿ]+$"
+_CLOSING = ".,;:!?"
+
+
+def _little_endian(ids: list[int]) -> bytes:
+    out = array("I", ids)
+    if sys.byteorder == "big":
+        out.byteswap()
+    return out.tobytes()
 
 
 class _Cache(dict):
@@ -61,11 +71,12 @@ class _Cache(dict):
 
 
 class ChunkTokenizer:
-    """Token ids of whole texts as little-endian unsigned 32-bit bytes, through a cache of chunks.
+    """Token ids of whole texts as little-endian unsigned 32-bit numbers, a batch of texts at a time.
 
     ``word_bpe_49k`` drops white space and never looks across it, so a text's ids are those of its
     space-separated chunks in turn. A chunk of Latin letters with closing punctuation goes to the
     BPE model as the tokenizer itself would hand it over; every other chunk takes the full tokenizer.
+    Of a batch each distinct chunk is looked at once, and each distinct word is tokenized once and cached.
     """
 
     def __init__(self, path: str):
@@ -79,26 +90,59 @@ class ChunkTokenizer:
             if b not in names:
                 names[b] = chr(256 + b - sum(x < b for x in direct))
         self.bytes_as_letters = str.maketrans({chr(k): v for k, v in names.items()})
-        self.chunks, self.words = _Cache(self._chunk), _Cache(self._word)
+        self.chunks, self.words = _Cache(self._full), _Cache(self._word)
 
     def _full(self, chunk: str) -> bytes:
-        ids = self.full.encode(chunk, add_special_tokens=False).ids
-        return struct.pack(f"<{len(ids)}I", *ids)
+        return _little_endian(self.full.encode(chunk, add_special_tokens=False).ids)
 
     def _word(self, word: str) -> bytes:
         if not word.isascii():  # ASCII letters and marks stand for themselves
             word = word.encode().decode("latin-1").translate(self.bytes_as_letters)
-        ids = [t.id for t in self.model.tokenize(word)]
-        return struct.pack(f"<{len(ids)}I", *ids)
-
-    def _chunk(self, chunk: str) -> bytes:
-        m = _LATIN_WORD.match(chunk)
-        if not m:
-            return self._full(chunk)
-        return self.words[m[1].lower()] + self.words[m[2]] if m[2] else self.words[m[1].lower()]
+        return _little_endian([t.id for t in self.model.tokenize(word)])
+
+    def encode_all(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all ``texts``, nulls being empty, and where each text's begin, with the end as a last entry."""
+        texts = pc.replace_substring(pc.fill_null(texts.cast(pa.large_string()), ""), "\n", " ")
+        split = pc.split_pattern(texts, " ")
+        told = pc.dictionary_encode(split.values)
+        code, chunk = told.indices.to_numpy(), told.dictionary
+        word = pc.utf8_rtrim(chunk, characters=_CLOSING)
+        latin = pc.match_substring_regex(word, _LATIN).to_numpy(zero_copy_only=False)
+        words = pc.dictionary_encode(pc.utf8_lower(word.filter(pa.array(latin))))
+        tails = pc.dictionary_encode(_tails(chunk.filter(pa.array(latin)), word.filter(pa.array(latin))))
+        parts = [b"", *map(self.words.__getitem__, words.dictionary.to_pylist())]
+        first_tail = len(parts)
+        parts += map(self.words.__getitem__, tails.dictionary.to_pylist())
+        first_other = len(parts)
+        parts += map(self.chunks.__getitem__, chunk.filter(pa.array(~latin)).to_pylist())
+        # Two parts a chunk: a word and its closing marks, or what the full tokenizer gave and nothing.
+        two = np.zeros((len(chunk), 2), np.int64)
+        two[latin, 0] = words.indices.to_numpy() + 1
+        two[latin, 1] = tails.indices.to_numpy() + first_tail
+        two[~latin, 0] = first_other + np.arange(len(parts) - first_other)
+        size = np.array([len(p) // 4 for p in parts], np.int64)
+        begin = np.cumsum(size) - size
+        order = two[code].reshape(-1)
+        length = size[order]
+        upto = np.cumsum(length)
+        ids = np.frombuffer(b"".join(parts), "<u4")
+        ids = ids[np.repeat(begin[order] - (upto - length), length) + np.arange(upto[-1] if len(upto) else 0)]
+        ends = np.r_[0, upto][2 * split.offsets.to_numpy()]
+        return ids, ends
 
     def encode(self, text: str) -> bytes:
-        return b"".join(map(self.chunks.__getitem__, text.replace("\n", " ").split(" ")))
+        return self.encode_all(pa.array([text]))[0].tobytes()
+
+
+def _tails(chunks: pa.Array, words: pa.Array) -> pa.Array:
+    """What of each chunk stands after its word: ASCII marks, so that bytes can be cut."""
+    raw, cut = chunks.cast(pa.large_binary()), pc.binary_length(words.cast(pa.large_binary())).to_numpy()
+    offsets = np.frombuffer(raw.buffers()[1], np.int64)[raw.offset : raw.offset + len(raw) + 1]
+    begin, size = offsets[:-1] + cut, np.diff(offsets) - cut
+    upto = np.cumsum(size)
+    data = np.frombuffer(raw.buffers()[2] or b"", np.uint8)
+    body = data[np.repeat(begin - (upto - size), size) + np.arange(upto[-1] if len(upto) else 0)]
+    return pa.Array.from_buffers(pa.large_binary(), len(raw), [None, pa.py_buffer(np.r_[0, upto].astype(np.int64).tobytes()), pa.py_buffer(body.tobytes())]).cast(pa.large_string())
 
 
 @functools.lru_cache(1)
@@ -117,8 +161,9 @@ def tokenised_pieces(docs: DataFrame, tokenizer_path: str, window: int, id_col:
         end = struct.pack("<I", END_ID)
         for b in batches:
             owner, row, piece, start, length, crc = [], [], [], [], [], []
-            for i, (r, text) in enumerate(zip(b.column(1).to_pylist(), b.column(2))):
-                ids = tok.encode(text.as_py() or "") + end
+            every, ends = tok.encode_all(b.column(2))
+            for i, r in enumerate(b.column(1).to_pylist()):
+                ids = every[ends[i] : ends[i + 1]].tobytes() + end
                 n = len(ids) // 4
                 for p, s in enumerate(range(0, n, window)):
                     part = ids[4 * s : 4 * (s + window)]

@@ -121,3 +121,17 @@ def test_long_chunks_are_not_cached():
     want = tok.full.encode(text, add_special_tokens=False).ids
     assert tok.encode(text) == tok.encode(text) == b"".join(i.to_bytes(4, "little") for i in want)
     assert max(map(len, [*tok.chunks, *tok.words])) <= packing.CACHED_CHARS
+
+
+def test_batches_of_texts_against_the_full_tokenizer():
+    import random
+
+    import pyarrow as pa
+
+    tok, rng = packing.ChunkTokenizer(queries.tokenizer_path()), random.Random(5)
+    letters = "abcXYZÀÖØßÿñ.,;:!?'-_0129 \n \u00a0’ª×ΣİéK\x1c日"
+    texts = [None, "", "\n", " a  b ", "... !!!", "Hello,world foo.;!"] + ["".join(rng.choice(letters) for _ in range(rng.randrange(60))) for _ in range(2000)] + ["x" * 9000]
+    ids, ends = tok.encode_all(pa.array(texts))
+    for x, i, j in zip(texts, ends, ends[1:]):
+        assert ids[i:j].tolist() == tok.full.encode(x or "", add_special_tokens=False).ids, x
+    assert len(tok.encode_all(pa.array([], pa.string()))[0]) == 0
