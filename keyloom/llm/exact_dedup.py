@@ -88,7 +88,9 @@ class DigestIndex:
         again = dealt.join(known, "digest", "left_semi").select("digest", F.lit(None).alias("keep_id"), F.lit(None).alias("keep_row"), "rows", F.lit(None).alias("batch"))
         columns = ["digest", "keep_id", "keep_row", "batch", "rows"]
         # A table cannot be read and appended to in one statement: the few columns are staged between.
-        ready = stage(lacking.select(columns).unionByName(again.select(columns)), "digest-new").repartition(self.buckets, "digest")
+        # Dealt by bucket, so that a bucket gets one file whatever the number of tasks.
+        bucket = F.pmod(F.hash("digest"), F.lit(self.buckets))
+        ready = stage(lacking.select(columns).unionByName(again.select(columns)), "digest-new").repartition(self.buckets, bucket)
         ready.write.format("parquet").bucketBy(self.buckets, "digest").sortBy("digest").mode("append").option("path", self.path).saveAsTable(self.name)
         self.spark.catalog.refreshTable(self.name)
         return batch

@@ -42,6 +42,8 @@ def test_index_persists(spark):
         more = {r["doc_id"]: (r["keep_id"], r["group_size"]) for r in exact_dedup.exact_duplicates(docs(spark, [(2, "b"), (9, "a")]), index=again).collect()}
         assert more == {2: (6, 2), 9: (5, 4)}
         assert again.merged().count() == 3
+        files = [f for f in again.table().inputFiles()]
+        assert len(files) <= 3 * 4  # a file for each bucket and batch at most
         for lookup in (again.table().select("digest").join(again.table().select("digest").hint("merge"), "digest"), again.merged()):
             assert "Exchange" not in lookup._jdf.queryExecution().executedPlan().toString()  # bucketed by the digest: nothing is shuffled
     assert not [t for t in spark.catalog.listTables() if t.name in (first.name, again.name)]
