@@ -20,12 +20,36 @@ def index_bounds(start: int, stop: int, n: Column) -> tuple[Column, Column]:
     return first, last
 
 
-def in_index_range(rows: DataFrame, order: list[Column], start: int, stop: int, keys: tuple[str, ...] = ("key",), place: str = "place", backwards: list[Column] | None = None) -> DataFrame:
+#: Ranges that a key's rows are cut into to be ranked: each is sorted by itself.
+RANGES = 64
+
+
+def ranked(rows: DataFrame, by: str, order: list[Column], name: str, size: str | None = None) -> DataFrame:
+    """``rows`` (key, ...) with their 0-based rank within the key, and the key's number of rows as ``size`` if asked for.
+
+    A key's rows are cut into ranges of ``by``, the leading column of ``order``, of about equal counts. A rank is the
+    number of rows in the ranges before and the place in the own range, so that a key of any size is ranked by
+    many tasks. Rows of one value fall in one range.
+    """
+    cuts = rows.groupBy("key").agg(F.percentile_approx(by, [k / RANGES for k in range(1, RANGES)], 1000).alias("__cuts"))
+    cut = rows.join(cuts, "key").withColumn("__range", F.expr(f"size(filter(__cuts, c -> c < {by}))")).drop("__cuts")
+    sizes = cut.groupBy("key", "__range").agg(F.count("*").alias("__n"))
+    of_key = Window.partitionBy("key")
+    before = sizes.withColumn("__before", F.coalesce(F.sum("__n").over(of_key.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    before = before.withColumn("__all", F.sum("__n").over(of_key)).drop("__n")
+    place = F.row_number().over(Window.partitionBy("key", "__range").orderBy(*order)) - 1
+    out = cut.withColumn("__place", place).join(before, ["key", "__range"]).withColumn(name, (F.col("__place") + F.col("__before")).cast("long"))
+    out = out.withColumn(size, F.col("__all").cast("long")) if size else out
+    return out.drop("__range", "__place", "__before", "__all")
+
+
+def in_index_range(rows: DataFrame, order: list[Column], start: int, stop: int, keys: tuple[str, ...] = ("key",), place: str = "place", backwards: list[Column] | None = None, by: str | None = None, falling: bool = False) -> DataFrame:
     """Rows of each key at the places ``start..stop`` of its order, with their 0-based ``place``.
 
     Where both ends count from the front, the rank is limited from above, which Spark applies to each
     task's rows before the shuffle. ``backwards`` is the reverse order; with it, ranges whose ends both
-    count from the end are limited in the same way.
+    count from the end are limited in the same way. With ``by``, the leading column of the order, which may be ``falling``,
+    others are ranked in ranges of it, and else in one window a key.
     """
     if start >= 0 and stop >= 0:
         if start > stop:
@@ -39,9 +63,13 @@ def in_index_range(rows: DataFrame, order: list[Column], start: int, stop: int,
         rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*backwards))
         near = rows.withColumn(place, rank).filter(F.col(place) <= -start).filter(F.col(place) >= -stop)
         return near.join(n, list(keys)).withColumn(place, (F.col("__n") - F.col(place)).cast("long")).drop("__n")
-    ranked = rows.withColumn(place, (F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1).cast("long")).join(n, list(keys))
+    if by is None:
+        whole = rows.withColumn(place, (F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1).cast("long")).join(n, list(keys))
+    else:
+        whole = ranked(rows, by, backwards if falling else order, place, "__n")
+        whole = whole.withColumn(place, F.col("__n") - 1 - F.col(place)) if falling else whole
     first, last = index_bounds(start, stop, F.col("__n"))
-    return ranked.filter((F.col(place) >= first) & (F.col(place) <= last)).drop("__n")
+    return whole.filter((F.col(place) >= first) & (F.col(place) <= last)).drop("__n")
 
 
 @dataclass(frozen=True)

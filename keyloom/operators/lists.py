@@ -52,7 +52,7 @@ def llen(lists: DataFrame) -> DataFrame:
 
 def lrange(lists: DataFrame, start: int, stop: int) -> DataFrame:
     """LRANGE of every key -> (key, pos, value, place)."""
-    return in_index_range(lists, _up(), start, stop, backwards=_down())
+    return in_index_range(lists, _up(), start, stop, backwards=_down(), by="pos")
 
 
 def lindex(lists: DataFrame, index: int, keys: DataFrame | None = None) -> DataFrame:

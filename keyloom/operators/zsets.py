@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.ranges import ScoreRange, in_index_range
+from ..functions.ranges import ScoreRange, in_index_range, ranked
 from ..schema import Applied
 
 AT = ["key", "member"]
@@ -57,12 +57,12 @@ def zcount(zsets: DataFrame, keys: DataFrame, within: ScoreRange) -> DataFrame:
 
 def zrange(zsets: DataFrame, start: int, stop: int) -> DataFrame:
     """ZRANGE of every key, with the 0-based ``place``."""
-    return in_index_range(zsets, _up(), start, stop, backwards=_down())
+    return in_index_range(zsets, _up(), start, stop, backwards=_down(), by="score")
 
 
 def zrevrange(zsets: DataFrame, start: int, stop: int) -> DataFrame:
     """ZREVRANGE: places count from the highest score."""
-    return in_index_range(zsets, _down(), start, stop, backwards=_up())
+    return in_index_range(zsets, _down(), start, stop, backwards=_up(), by="score", falling=True)
 
 
 def zrangebyscore(zsets: DataFrame, within: ScoreRange, offset: int = 0, count: int = -1) -> DataFrame:
@@ -74,7 +74,7 @@ def zrangebyscore(zsets: DataFrame, within: ScoreRange, offset: int = 0, count:
         return hits
     if count >= 0:
         return in_index_range(hits, _up(), offset, offset + count - 1).drop("place") if count else hits.limit(0)
-    return in_index_range(hits, _up(), offset, -1).drop("place")
+    return in_index_range(hits, _up(), offset, -1, by="score").drop("place")
 
 
 def zrem(zsets: DataFrame, requests: DataFrame) -> Applied:
@@ -123,25 +123,12 @@ def store(zsets: DataFrame, result: DataFrame, groups: DataFrame) -> Applied:
 
 def zrank(zsets: DataFrame, reverse: bool = False) -> DataFrame:
     """The 0-based rank of every member."""
-    order = _down() if reverse else _up()
-    return zsets.withColumn("rank", (F.row_number().over(Window.partitionBy("key").orderBy(*order)) - 1).cast("long"))
-
-
-#: Score ranges of a key's members: each is sorted by itself.
-RANGES = 64
+    if not reverse:
+        return ranked(zsets, "score", _up(), "rank")
+    return ranked(zsets, "score", _up(), "rank", "__size").withColumn("rank", F.col("__size") - 1 - F.col("rank")).drop("__size")
 
 
 def zrank_of(zsets: DataFrame, requests: DataFrame) -> DataFrame:
-    """ZRANK of ``requests`` (key, member), few or all: null for no member.
-
-    A key's members are cut into ranges of scores of about equal counts. A rank is the number of members in
-    the ranges before and the place in the own range. Members of one score fall in one range.
-    """
+    """ZRANK of ``requests`` (key, member), few or all: null for no member. Only the keys asked for are ranked."""
     held = zsets.join(requests.select("key").distinct(), "key", "left_semi")
-    cuts = held.groupBy("key").agg(F.percentile_approx("score", [k / RANGES for k in range(1, RANGES)], 1000).alias("__cuts"))
-    cut = held.join(cuts, "key").withColumn("__range", F.expr("size(filter(__cuts, c -> c < score))")).drop("__cuts")
-    sizes = cut.groupBy("key", "__range").agg(F.count("*").alias("__n"))
-    before = sizes.withColumn("__before", F.coalesce(F.sum("__n").over(Window.partitionBy("key").orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("__n")
-    place = F.row_number().over(Window.partitionBy("key", "__range").orderBy(*_up())) - 1
-    ranks = cut.withColumn("__place", place).join(before, ["key", "__range"]).select(*AT, (F.col("__place") + F.col("__before")).cast("long").alias("rank"))
-    return requests.join(ranks, AT, "left")
+    return requests.join(zrank(held).select(*AT, "rank"), AT, "left")

@@ -247,3 +247,23 @@ def test_components_with_hubs(spark, monkeypatch):
     for hub in (components.HUB, 5):
         monkeypatch.setattr(components, "HUB", hub)
         assert {r["node"]: r["component"] for r in components.connected_components(edges, stage).collect()} == want
+
+
+def test_ranks_by_ranges(spark):
+    """Places from either end of keys with many equal scores, against sorted lists."""
+    from keyloom.operators import lists, zsets
+
+    rows = [("hot", f"m{i:04d}", float(i * 7919 % 40)) for i in range(900)] + [("one", "x", 1.0)] + [("flat", f"f{i}", 2.0) for i in range(70)]
+    z = spark.createDataFrame(rows, "key string, member string, score double")
+    up = {k: sorted((s, m) for key, m, s in rows if key == k) for k in ("hot", "one", "flat")}
+    for start, stop in ((3, -4), (-5, 2), (0, -1), (-800, 200)):
+        for op, order in ((zsets.zrange, up), (zsets.zrevrange, {k: v[::-1] for k, v in up.items()})):
+            want = set()
+            for k, v in order.items():
+                n = len(v)
+                first, last = max(start if start >= 0 else n + start, 0), min(stop if stop >= 0 else n + stop, n - 1)
+                want |= {(k, v[i][1], i) for i in range(first, last + 1)}
+            assert {(r["key"], r["member"], r["place"]) for r in op(z, start, stop).collect()} == want
+    assert {(r["key"], r["member"]): r["rank"] for r in zsets.zrank(z, reverse=True).collect()} == {(k, m): len(v) - 1 - i for k, v in up.items() for i, (_, m) in enumerate(v)}
+    q = spark.createDataFrame([("l", i * 3, f"v{i}") for i in range(300)] + [("s", 5, "a")], "key string, pos long, value string")
+    assert [r["value"] for r in lists.lrange(q, 2, -3).orderBy("pos").collect()] == [f"v{i}" for i in range(2, 298)]

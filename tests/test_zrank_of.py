@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from keyloom.operators import zsets
+from keyloom.sources.staging import stage
 
 
 def joined_rows(spark):
@@ -23,7 +24,7 @@ def joined_rows(spark):
 def test_every_member(spark):
     n = 3000
     z = spark.range(n).select(F.when(F.col("id") % 10 > 0, "hot").otherwise("cold").alias("key"), F.concat(F.lit("m"), F.col("id")).alias("member"), F.expr("cast(pmod(hash(id), 500) as double)").alias("score"))
-    z = z.unionByName(spark.range(700).selectExpr("'flat' AS key", "concat('m', id) AS member", "1.5D AS score")).localCheckpoint()
+    z = stage(z.unionByName(spark.range(700).selectExpr("'flat' AS key", "concat('m', id) AS member", "1.5D AS score")), "zrank")
     absent = spark.createDataFrame([("hot", "none"), ("nokey", "m1")], "key string, member string")
     got = zsets.zrank_of(z, z.select("key", "member").unionByName(absent)).collect()
     most = joined_rows(spark)
