@@ -348,6 +348,20 @@ def setbit(spark, sf_dir):
     return bitmaps.setbit(b, bitmaps.sizes_of(b), w)[0]
 
 
+@query("SELECT 'bm:' || event_type AS key, max(user_id) // 8 + 1 AS nbytes FROM events GROUP BY 1")
+def setbit_size(spark, sf_dir):
+    """Clear bits make a string longer too."""
+    b = t.bitmaps(spark, sf_dir).limit(0)
+    w = t.read(spark, sf_dir, "events").select(t.named("bm:", "event_type").alias("key"), F.col("user_id").alias("bit"), (F.col("event_id") % 2).alias("v"), F.col("event_id").alias("seq"))
+    return bitmaps.setbit(b, bitmaps.sizes_of(b), w)[1]
+
+
+@query(f"WITH {BM} SELECT split_part(key, ':', 3) AS dest, max(nbytes) AS nbytes FROM n GROUP BY 1")
+def bitop_size(spark, sf_dir):
+    b, n = _bits(spark, sf_dir)
+    return bitmaps.bitop(b, n, n.select(F.split("key", ":")[2].alias("dest"), "key"), "AND")[1]
+
+
 @query(f"WITH {BM} SELECT n.key, r.bit, CASE WHEN b.key IS NULL THEN 0 ELSE 1 END AS v FROM n, unnest(range(nbytes * 8 + 8)) r(bit) LEFT JOIN b ON b.key = n.key AND b.bit = r.bit")
 def getbit(spark, sf_dir):
     b, n = _bits(spark, sf_dir)

@@ -67,6 +67,14 @@ def getex(spark, sf_dir):
     return strings.getex(values, meta, asked, NOW).state.select("key", "type", "expire_at")
 
 
+@query(f"WITH {TTL} SELECT key, 'v' AS value FROM a")
+def getex_reply(spark, sf_dir):
+    """The old value, whatever becomes of its end."""
+    meta = live(t.sessions(spark, sf_dir), NOW)
+    asked = meta.select("key", F.lit(NOW - 1).alias("expire_at"), F.lit(False).alias("persist"))
+    return strings.getex(meta.select("key", F.lit("v").alias("value")), meta, asked, NOW).reply.select("key", "value")
+
+
 @query(f"WITH {STR}, q AS (SELECT doc_id AS pos, CASE WHEN doc_id % 2 = 0 THEN 'doc:' || doc_id ELSE 'none' END AS key FROM documents) SELECT pos, q.key, value FROM q LEFT JOIN s ON q.key = s.key")
 def mget(spark, sf_dir):
     rows = t.read(spark, sf_dir, "documents")

@@ -71,30 +71,42 @@ def read(ks: Keyspace, command: str, *args, now_ms: int | None = None, **options
     return op(getattr(live, RELATION[kind]), *args, **options)
 
 
-def _settled(ks: Keyspace, kind: str, state: DataFrame, clear_ends: DataFrame | None = None) -> Keyspace:
+def _settled(ks: Keyspace, kind: str, state: DataFrame) -> Keyspace:
     """``ks`` with a relation replaced and its keys' metadata following it."""
     # Spark 4.1 zips the sides of a union by partition if both are dealt by key, and fails where a side's number changes at run time.
     ks.meta.sparkSession.conf.set("spark.sql.unionOutputPartitioning", "false")
     ends = ks.meta.select("key", "expire_at")
-    if clear_ends is not None:
-        ends = ends.join(clear_ends, "key", "left_anti")
     own = state.select("key").distinct().join(ends, "key", "left").select("key", F.lit(kind).alias("type"), "expire_at")
     others = ks.meta.filter(F.col("type") != kind).join(own.select("key"), "key", "left_anti")
     return ks.with_(meta=others.unionByName(own), **{RELATION[kind]: state})
 
 
+def _overwritten(ks: Keyspace, requests: DataFrame, condition: str | None = None) -> Outcome:
+    """SET and MSET over ``requests`` (key, value, seq): whatever the keys held goes, and their ends with it.
+
+    NX writes keys that hold nothing, where the first write wins, XX those that hold anything. A column
+    ``expire_at`` of the winning write, where it is not null, is the key's new end.
+    """
+    if condition not in (None, "NX", "XX"):
+        raise ValueError("syntax error")
+    chosen = requests if condition is None else requests.join(ks.meta.select("key"), "key", "left_anti" if condition == "NX" else "left_semi")
+    pick = F.min_by if condition == "NX" else F.max_by
+    columns = ["value", *(c for c in requests.columns if c == "expire_at")]
+    won = chosen.groupBy("key").agg(*(pick(F.struct(F.col(c)), "seq").alias(c) for c in columns)).select("key", *(F.col(f"{c}.{c}").alias(c) for c in columns))
+    left = ks.without(won.select("key"))
+    end = F.col("expire_at").cast("bigint") if "expire_at" in columns else F.lit(None).cast("bigint")
+    meta = left.meta.unionByName(won.select("key", F.lit("STRING").alias("type"), end.alias("expire_at")))
+    reply = requests.select("key").distinct().join(won.select("key", F.lit("OK").alias("reply")), "key", "left")
+    return Outcome(left.with_(meta=meta, strings=left.strings.unionByName(won.select("key", "value"))), reply, None)
+
+
 def write(ks: Keyspace, command: str, requests: DataFrame, *args, now_ms: int | None = None, **options) -> Outcome:
     """Apply a writing command to ``requests``, which name their keys in ``key``."""
     command = command.upper()
     kind, op = WRITES[command]
     ks = ks if now_ms is None else ks.live(now_ms)
     if command in OVERWRITES:
-        named = requests.select("key").distinct()
-        if not args and not options:  # unconditional: whatever the keys held goes
-            ks = ks.with_(**{r: getattr(ks, r).join(named, "key", "left_anti") for k, r in RELATION.items() if k != kind})
-            ks = ks.with_(meta=ks.meta.join(named, "key", "left_anti").unionByName(ks.meta.filter(F.col("type") == kind).join(named, "key", "left_semi")))
-        state, reply = op(getattr(ks, RELATION[kind]), requests, *args, **options)
-        return Outcome(_settled(ks, kind, state, named), reply, None)
+        return _overwritten(ks, requests, *args, **options)
     errors = ks.of_wrong_type(requests, kind)
     fine = requests.join(ks.meta.filter(F.col("type") != kind).select("key"), "key", "left_anti")
     state, reply = op(getattr(ks, RELATION[kind]), fine, *args, **options)

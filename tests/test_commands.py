@@ -123,3 +123,17 @@ def test_keys_and_moves(spark):
     assert {r["wait_seq"]: r["value"] for r in popped.reply.collect()} == {1: "b", 2: "a", 3: None} and popped.keyspace.lists.isEmpty() and [r["key"] for r in popped.errors.collect()] == ["s"]
     cut = commands.run(ks, "LTRIM", 1, -1, spark.createDataFrame([("l",)], "key string"))
     assert [r["value"] for r in cut.keyspace.lists.collect()] == ["b"]
+
+
+def test_set_with_conditions_and_ends(spark):
+    now = 1_000
+    ks = commands.run(keyspace(spark), "EXPIRE", spark.createDataFrame([("s", 50), ("h", 50)], "key string, seconds long"), now_ms=now).keyspace
+    ends = lambda k: {r["key"]: r["expire_at"] for r in k.meta.collect()}
+    writes = spark.createDataFrame([("s", "1", 1, 9_000), ("s", "2", 2, None), ("h", "3", 3, 7_000), ("n", "4", 4, 5_000), ("n", "5", 5, None)], "key string, value string, seq long, expire_at long")
+    plain = commands.run(ks, "SET", writes).keyspace
+    assert values(plain) == {"s": "2", "h": "3", "n": "5"} and plain.hashes.isEmpty() and {k: ends(plain)[k] for k in "shn"} == {"s": None, "h": 7_000, "n": None}
+    fresh = commands.run(ks, "SET", writes, "NX")
+    assert values(fresh.keyspace) == {"s": "5", "n": "4"} and types(fresh.keyspace)["h"] == "HASH" and {k: ends(fresh.keyspace)[k] for k in "shn"} == {"s": 51_000, "h": 51_000, "n": 5_000}
+    assert {r["key"]: r["reply"] for r in fresh.reply.collect()} == {"s": None, "h": None, "n": "OK"}
+    held = commands.run(ks, "SET", writes.drop("expire_at"), "XX").keyspace
+    assert values(held) == {"s": "2", "h": "3"} and "n" not in types(held) and ends(held)["h"] is None
