@@ -134,4 +134,8 @@ def test_batches_of_texts_against_the_full_tokenizer():
     ids, ends = tok.encode_all(pa.array(texts))
     for x, i, j in zip(texts, ends, ends[1:]):
         assert ids[i:j].tolist() == tok.full.encode(x or "", add_special_tokens=False).ids, x
-    assert len(tok.encode_all(pa.array([], pa.string()))[0]) == 0
+    assert len(tok.encode_all(pa.array([], pa.string()))[0]) == 0 == len(list(tok.encode_each(pa.array([], pa.string()))))
+    for together in (1, 50, 1 << 20):
+        packing.TOGETHER, before = together, packing.TOGETHER
+        assert b"".join(tok.encode_each(pa.array(texts))) == ids.tobytes() and len(list(tok.encode_each(pa.array(texts)))) == len(texts)
+        packing.TOGETHER = before
