@@ -142,7 +142,8 @@ def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     one join; the text is shuffled once.
     """
     digest, keep, place, match = fresh(docs, "digest", "keep", "place", "match")
-    found = exact_duplicates(docs, id_col, text_col).filter("kept").select(F.col("text_sha256").alias(match), F.col("keep_id").alias(keep)).distinct()
+    # One row of a digest is kept: nothing is gathered by digest here, so that Spark can split a hot one.
+    found = exact_duplicates(docs, id_col, text_col).filter("kept").select(F.col("text_sha256").alias(match), F.col("keep_id").alias(keep))
     marked = docs.withColumn(digest, text_digest(F.col(text_col)))
     same = F.col(digest) == F.col(match)
     named = marked.join(found, same & (F.col(id_col) == F.col(keep)), "left_semi")
