@@ -43,7 +43,7 @@ END_ID = 1
 CACHE_ENTRIES = 300_000
 CACHED_CHARS = 48
 #: Bytes of text that are tokenized together; a longer text is tokenized by itself. No effect on results.
-TOGETHER = 1 << 21
+TOGETHER = 1 << 20
 
 _LATIN = "^[A-Za-zÀ-ÖØ-öø-ÿ]+$"
 _CLOSING = ".,;:!?"
@@ -142,6 +142,7 @@ class ChunkTokenizer:
             for i, j in zip(at, at[1:]):
                 yield ids[i:j].tobytes()
             begin = end
+            pa.default_memory_pool().release_unused()  # a worker lives on after this stage
 
     def encode(self, text: str) -> bytes:
         return self.encode_all(pa.array([text]))[0].tobytes()
