@@ -50,7 +50,7 @@ def group_keys(log: DataFrame) -> DataFrame | None:
 
 
 def _classified(log: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The log with ``group``, and (group, kind) of the groups; kind is null where a group needs its order."""
+    """The log with ``group``, and (group, kind, cmds) of the groups; kind is null where a group needs its order."""
     groups = group_keys(log)
     # A command stands with the first key it touches, which for BITOP is not its first argument.
     home = log.withColumn("home", F.coalesce(F.try_element_at(F.expr(KEYS), F.lit(1)), "key")) if groups is not None else log
@@ -74,9 +74,9 @@ def _classified(log: DataFrame) -> tuple[DataFrame, DataFrame]:
     # A container that loses its last element loses its time to live with it: then the order decides too.
     takes = F.col("cmd").isin("HDEL", "SREM", "ZREM")
     told = tied.withColumn("k", kind).groupBy("group").agg(
-        F.bool_and(fine).alias("fine"), F.count_distinct("k").alias("kinds"), F.max("k").alias("kind"), (F.bool_or(counts) & F.bool_or(texts)).alias("mixed"), (F.bool_or(ending) & F.bool_or(takes)).alias("ends")
+        F.bool_and(fine).alias("fine"), F.count_distinct("k").alias("kinds"), F.max("k").alias("kind"), (F.bool_or(counts) & F.bool_or(texts)).alias("mixed"), (F.bool_or(ending) & F.bool_or(takes)).alias("ends"), F.collect_set("cmd").alias("cmds")
     )
-    return tied.drop("alone"), told.select("group", F.when(F.col("fine") & (F.col("kinds") <= 1) & ~F.col("mixed") & ~F.col("ends"), F.coalesce("kind", F.lit("strings"))).alias("kind"))
+    return tied.drop("alone"), told.select("group", F.when(F.col("fine") & (F.col("kinds") <= 1) & ~F.col("mixed") & ~F.col("ends"), F.coalesce("kind", F.lit("strings"))).alias("kind"), "cmds")
 
 
 def _after(rows: DataFrame, with_base: bool) -> tuple[DataFrame, DataFrame | None]:
@@ -106,8 +106,8 @@ def _latest_then_sum(rows: DataFrame, by: list[str], zero) -> DataFrame:
     return out.filter(F.coalesce(put, F.lit(False)) | F.col("adds").isNotNull()).select(*by, (F.when(put, F.col("last.value")).otherwise(zero) + F.coalesce("adds", zero)).alias("value"))
 
 
-def _fold(log: DataFrame, kinds: set[str], with_base: bool) -> DataFrame:
-    """The algebraic groups of the ``kinds`` present, as rows of the fold's schema."""
+def _fold(log: DataFrame, kinds: set[str], with_base: bool, cmds: set[str]) -> DataFrame:
+    """The algebraic groups of the ``kinds`` present, as rows of the fold's schema; ``cmds`` are the commands that occur."""
     a = lambda i: F.try_element_at("args", F.lit(i))
     none = {"sub": "string", "pos": "bigint", "value": "string", "score": "double"}
 
@@ -149,6 +149,8 @@ def _fold(log: DataFrame, kinds: set[str], with_base: bool) -> DataFrame:
         put = paired(z.filter("cmd = 'ZADD'"), "value", "sub").select("key", "seq", "arg", "sub", F.col("value").try_cast("double").alias("value"), F.lit("put").alias("op"))
         drop = singles(z.filter("cmd = 'ZREM'"), "sub").select("key", "seq", "arg", "sub", F.lit(None).cast("double").alias("value"), F.lit("drop").alias("op"))
         add = z.filter("cmd = 'ZINCRBY'").select("key", "seq", F.lit(0).alias("arg"), a(2).alias("sub"), a(1).try_cast("double").alias("value"), F.lit("add").alias("op"))
+        if not cmds & {"ZADD", "ZREM"}:
+            return add.groupBy("key", "sub").agg(F.sum("value").alias("score"))
         return _latest_then_sum(put.unionByName(drop).unionByName(add), ["key", "sub"], F.lit(0.0)).withColumnRenamed("value", "score")
 
     def lists(rows: DataFrame) -> DataFrame:
@@ -161,7 +163,9 @@ def _fold(log: DataFrame, kinds: set[str], with_base: bool) -> DataFrame:
     out = log.sparkSession.createDataFrame([], _ROWS)
     for kind, fold in (("strings", strings), ("hashes", hashes), ("sets", sets), ("zsets", zsets), ("lists", lists)):
         if kind in kinds:
-            rows, ends = _after(log.filter(F.col("kind") == kind), with_base)
+            rows, ends = log.filter(F.col("kind") == kind), None
+            if with_base or cmds & {"SET", "DEL"}:  # else nothing bars what was before
+                rows, ends = _after(rows, with_base)
             out = out.unionByName(shaped(fold(rows), kind, ends))
     return out
 
@@ -205,13 +209,13 @@ def unknown_commands(log: DataFrame) -> DataFrame:
 def _folded(rows: DataFrame, with_base: bool) -> Keyspace:
     """The keyspace that ``rows`` (of ``_commands``) make."""
     tied, told = _classified(rows)
-    told = stage(told, "replay-kinds")
-    kinds = {r["kind"] for r in told.select("kind").distinct().collect()}  # six at most
-    if len(kinds) == 1 and None not in kinds:  # nothing is told apart: one fold over the log as it is
-        return keyspace_of(_fold(tied.withColumn("kind", F.lit(next(iter(kinds)))), kinds, with_base))
-    marked = stage(tied.join(told, "group"), "replay-log")
-    folded = _fold(marked.filter(F.col("kind").isNotNull()), kinds - {None}, with_base)
-    if None in kinds:
+    seen = told.agg(F.collect_set(F.coalesce("kind", F.lit(""))).alias("kinds"), F.array_distinct(F.flatten(F.collect_set("cmds"))).alias("cmds")).first()  # as many as there are commands
+    kinds, cmds = set(seen["kinds"]), set(seen["cmds"])
+    if len(kinds) == 1 and "" not in kinds:  # nothing is told apart: one fold over the log as it is
+        return keyspace_of(_fold(tied.withColumn("kind", F.lit(next(iter(kinds)))), kinds, with_base, cmds))
+    marked = stage(tied.join(told.drop("cmds"), "group"), "replay-log")
+    folded = _fold(marked.filter(F.col("kind").isNotNull()), kinds - {""}, with_base, cmds)
+    if "" in kinds:
         ordered = marked.filter(F.col("kind").isNull()).select("group", "seq", "at_ms", "cmd", "key", "args")
         folded = folded.unionByName(ordered.groupBy("group").applyInPandas(_replayed, _ROWS))
     return keyspace_of(stage(folded, "replay-rows"))
