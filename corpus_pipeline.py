@@ -3,8 +3,9 @@
 1. language ID: documents go whose language is undetermined, or holds less than half of the text;
 2. exact dedup: of equal texts the smallest doc_id stays;
 3. SimHash near-dedup: of each component of texts whose five-word shingles have a Jaccard similarity of
-   0.8 or more the smallest doc_id stays. A 64-bit fingerprint loses such pairs at any radius, so the
-   stage filters the shingle sets themselves by ring segments, as bit vectors under a Hamming distance;
+   0.8 or more the smallest doc_id stays. Their 64-bit fingerprints are linked by pigeonring chains and the
+   links checked by the sets; as 64 bits lose such pairs at any radius, the others are found by longer
+   fingerprints, a SimHash for each of so many ring segments that the radius reaches 0.8;
 4. mixing: sources are read repeatedly, twice at most, until their tokens stand in the target weights;
    no document is left out, and a row comes out once for each time it is read;
 5. packing: the rows become pieces in sequences of 4096 tokens. ``row`` tells apart repeated documents.

@@ -1,21 +1,26 @@
-"""Near-duplicates by the Jaccard similarity of five-word shingle sets, 0.8 or more, exactly.
-
-A 64-bit SimHash cannot do this: at a similarity of 0.8 two of them differ in about 10 bits, give or
-take 3, so any radius loses pairs. The filter of ``simhash`` is carried over from fingerprints to the
-sets themselves. A set is a bit vector over all shingles, and two sets of ``a`` and ``b`` shingles have a
-similarity of 0.8 or more if and only if their vectors differ in at most (a + b) / 9 bits.
-
-* The shingles are dealt by hash to a ring of ``m`` segments, a few more than the differences that two
-  sets of that size may have. Then more segments are alike in both than can be empty, and some segment
-  that holds shingles is the same. (segment, its content) is a bucket. The number of segments goes by
-  classes of sizes, and a set stands in the two classes that its partners can be of. A set with too many
-  empty segments is dealt again by further hashes, and the last of these has its empty segments as
-  buckets too, so that no pair is lost whatever the hashes do.
+"""SimHash near-duplicates whose five-word shingle sets have a Jaccard similarity of 0.8 or more, exactly.
+
+The method is that of ``simhash``: fingerprints, candidates by pigeonring, a check, components. It is done with
+fingerprints of two lengths, as at a similarity of 0.8 two of 64 bits differ in about 10, give or take 3.
+
+1. *64 bits.* Each text has the SimHash fingerprint of its five-word shingles. ``simhash.near_links`` finds those
+   within 3 bits by pigeonring chains, and the links among the texts of a component are confirmed by the whole
+   sets. What is linked now is one part. This finds close copies, however many, in linear work.
+2. *A ring of fingerprints*, for the links between parts. The shingles are dealt by hash to a ring of ``m`` segments,
+   and each segment has the SimHash fingerprint of the shingles in it. Two sets of ``a`` and ``b`` shingles have
+   a similarity of 0.8 or more if and only if they differ in at most (a + b) / 9 shingles. Each of these changes one
+   segment, so this is the radius, and ``m`` is a few more. By the pigeonring some segment begins a chain that
+   starts without a difference, and as more segments are alike than can be empty, one with shingles is: (segment,
+   its fingerprint) is a bucket. The number of segments goes by classes of sizes, and a set stands in the two
+   classes that its partners can be of. A set with too many empty segments is dealt again by further hashes,
+   and the last of these has its empty segments as buckets too, so that no pair is lost whatever the hashes do.
+
 * In a bucket the sets' parity sketches (a bit for the shingles of a slot, modulo two) must differ in no
   more than (a + b) / 9 bits. Each shingle changes one bit, so the sketches never differ in more than
   the sets, and no pair is lost. A bucket gives a spanning forest of what passes and not its pairs.
 * Only then the whole sets are read again, each component of the forests in tiles of bounded size, and
   compared exactly. A tile gives a spanning forest of the links it confirms.
+* Pairs of one part are not compared again, in buckets or tiles.
 
 Equal sets are one node. A task deals each of them once, so a text that is a third of the rows costs a few
 rows a task. Buckets and components of any size are cut into tiles of at most ``TILE`` sets by ``TILE``.
@@ -33,7 +38,7 @@ from pyspark.sql import functions as F
 
 from .common import stage
 from .components import connected_components
-from .simhash import SEED, keep_least
+from .simhash import SEED, hashes, keep_least, majorities, majority, near_links
 
 WORDS = 5
 #: Sets of this many shingles and fewer are like no other set.
@@ -55,13 +60,7 @@ while _CLASSES[-1] < 1 << 40:
 
 def shingles(text: str | None) -> np.ndarray:
     """The sorted distinct hashes of a text's runs of five words; of all its words, where it has fewer; none without words."""
-    import xxhash
-
-    words = (text or "").encode().lower().split()
-    if not words:
-        return np.zeros(0, np.uint64)
-    grams = [b" ".join(words)] if len(words) <= WORDS else map(b" ".join, zip(*(words[k:] for k in range(WORDS))))
-    return np.unique(np.fromiter((xxhash.xxh64_intdigest(g, SEED) for g in grams), np.uint64))
+    return np.unique(hashes(text, WORDS))
 
 
 def node_of(tokens: np.ndarray) -> int:
@@ -84,7 +83,7 @@ def ring(of_class: int) -> tuple[int, int]:
 
 
 def bucket_keys(tokens: np.ndarray) -> np.ndarray:
-    """The buckets of a set: a hash for each (class, turn, segment, content) that it is looked for in."""
+    """The buckets of a set: a hash for each (class, turn, segment, the segment's fingerprint) that it is looked for in."""
     if len(tokens) <= ALONE:
         return np.zeros(0, np.int64)
     own, out = bisect_right(_CLASSES, len(tokens)) - 1, []
@@ -97,7 +96,7 @@ def bucket_keys(tokens: np.ndarray) -> np.ndarray:
             held = segment[order]
             start = np.flatnonzero(np.r_[True, held[1:] != held[:-1]])
             place = np.uint64((of_class * TURNS + turn) << 40)
-            out.append(_mixed(np.add.reduceat(_mixed(h[order]), start) + _mixed(held[start] + place)))
+            out.append(_mixed(_mixed(majorities(tokens[order], start)) + _mixed(held[start] + place)))
             if len(start) > most:  # of its segments with shingles one is the same in any partner
                 break
         else:
@@ -121,16 +120,20 @@ def folded(sketch: np.ndarray, size: int) -> np.ndarray:
 
 
 def _sets(texts: DataFrame, kind: str) -> DataFrame:
-    """(id, node, n, sketch): a row per text."""
+    """(id, node, n, sketch, fp): a row per text, with its fingerprint of 64 bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sets = [shingles(t.as_py()) for t in b.column(1)]
+            told = []
+            for t in b.column(1):
+                s = np.unique(hashes(t.as_py(), WORDS))
+                told.append((node_of(s), len(s), sketch_of(s), majority(s)))
+            node, n, sketch, fp = zip(*told) if told else ((), (), (), ())
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array([node_of(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([sketch_of(s) for s in sets], pa.binary())], names=["id", "node", "n", "sketch"]
+                [b.column(0), pa.array(node, pa.int64()), pa.array(n, pa.int64()), pa.array(sketch, pa.binary()), pa.array(np.array(fp, np.uint64).view(np.int64))], names=["id", "node", "n", "sketch", "fp"]
             )
 
-    return texts.select("id", "text").mapInArrow(run, f"id {kind}, node long, n long, sketch binary")
+    return texts.select("id", "text").mapInArrow(run, f"id {kind}, node long, n long, sketch binary, fp long")
 
 
 def _dealt(texts: DataFrame) -> DataFrame:
@@ -215,7 +218,7 @@ def _allowed(n, others):
 
 
 def _near_sketches(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The ``pairs`` (u, v) whose sizes and sketches allow a link."""
+    """The ``pairs`` (u, v) of different parts whose sizes and sketches allow a link."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -227,8 +230,8 @@ def _near_sketches(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
                 keep[i] = int(np.bitwise_count(folded(x, size) ^ folded(y, size)).sum()) <= most[i]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["u", "v"]).filter(pa.array(keep))
 
-    x, y = (nodes.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"s{c}")) for c in "uv")
-    return pairs.join(x, "u").join(y, "v").select("u", "v", "nu", "nv", "su", "sv").mapInArrow(run, "u long, v long")
+    x, y = (nodes.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"s{c}"), F.col("part").alias(f"p{c}")) for c in "uv")
+    return pairs.join(x, "u").join(y, "v").filter("pu <> pv").select("u", "v", "nu", "nv", "su", "sv").mapInArrow(run, "u long, v long")
 
 
 def _tiled(rows: DataFrame, by: str, weight: str | None = None) -> DataFrame:
@@ -270,12 +273,13 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-def forest(node: np.ndarray, side: np.ndarray, linked) -> list[tuple[int, int]]:
-    """A spanning forest of the links in a tile; ``linked(i, others)`` tells which of the others i is linked with.
+def forest(node: np.ndarray, side: np.ndarray, part: np.ndarray, linked) -> list[tuple[int, int]]:
+    """A spanning forest of the links between parts in a tile; ``linked(i, others)`` tells which of the others i is linked with.
 
     In a tile of two blocks only links between them are asked for, as each block is a tile itself.
     """
-    parent, found = np.arange(len(node)), []
+    _, first, of = np.unique(part, return_index=True, return_inverse=True)
+    parent, found = first[of], []
     two = len(side) > 0 and side.min() != side.max()
 
     def root(x: int) -> int:
@@ -302,12 +306,14 @@ def _links(found: list[tuple[int, int]]) -> pa.RecordBatch:
 
 
 def _large_buckets(rows: DataFrame, nodes: DataFrame) -> DataFrame:
-    """``rows`` (key, node) of buckets -> (u, v): forests of the pairs whose sizes and sketches allow a link."""
+    """``rows`` (key, node) of buckets -> (u, v): forests of the pairs of different parts whose sizes and sketches allow a link."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _groups(batches, 2):
-            side, node, n = (t.column(c).to_numpy() for c in (2, 3, 4))
-            raw = [np.frombuffer(x.as_buffer(), np.uint8) for x in t.column(5)]
+            side, node, n, part = (t.column(c).to_numpy() for c in (2, 3, 4, 5))
+            if (part == part[0]).all():
+                continue
+            raw = [np.frombuffer(x.as_buffer(), np.uint8) for x in t.column(6)]
             size = min(map(len, raw))
             bits = np.array([folded(x, size) for x in raw]).view(np.uint64)
 
@@ -315,9 +321,9 @@ def _large_buckets(rows: DataFrame, nodes: DataFrame) -> DataFrame:
                 most = _allowed(n[i], n[others])
                 return np.bitwise_count(bits[others] ^ bits[i]).sum(axis=1, dtype=np.int64) <= most
 
-            yield _links(forest(node, side, linked))
+            yield _links(forest(node, side, part, linked))
 
-    tiles = _tiled(rows, "key").join(nodes, "node").select("key", "tile", "side", "node", "n", "sketch")
+    tiles = _tiled(rows, "key").join(nodes, "node").select("key", "tile", "side", "node", "n", "part", "sketch")
     return tiles.repartition("key", "tile").sortWithinPartitions("key", "tile").mapInArrow(run, "u long, v long")
 
 
@@ -337,12 +343,12 @@ def _whole(texts: DataFrame, sets: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def _confirmed(groups: DataFrame, texts: DataFrame, sets: DataFrame, nodes: DataFrame) -> DataFrame:
-    """``groups`` (node, component) -> (u, v): forests of the links, by the whole sets, within each component."""
+    """``groups`` (node, component) of ``nodes`` (node, n, part) -> (u, v): forests of the links between parts, by the whole sets, within each component."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _groups(batches, 2):
-            side, node = t.column(2).to_numpy(), t.column(3).to_numpy()
-            sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in t.column(4)]
+            side, node, part = (t.column(c).to_numpy() for c in (2, 3, 4))
+            sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in t.column(5)]
             n = np.array([len(s) for s in sets])
             of = np.unique(np.concatenate(sets), return_inverse=True)[1]
             start = np.r_[0, np.cumsum(n)]
@@ -359,14 +365,24 @@ def _confirmed(groups: DataFrame, texts: DataFrame, sets: DataFrame, nodes: Data
                 mark[own] = 0
                 return out
 
-            yield _links(forest(node, side, linked))
+            yield _links(forest(node, side, part, linked))
 
-    sized = groups.join(nodes.select("node", "n"), "node")
+    sized = groups.join(nodes.select("node", "n", "part"), "node")
     own = _whole(texts, sets, groups.select("node"))
-    tiles = _tiled(sized, "component", "n").join(own, "node").select("component", "tile", "side", "node", "tokens")
+    tiles = _tiled(sized, "component", "n").join(own, "node").select("component", "tile", "side", "node", "part", "tokens")
     return tiles.repartition("component", "tile").sortWithinPartitions("component", "tile").mapInArrow(run, "u long, v long")
 
 
+def close_links(texts: DataFrame, sets: DataFrame) -> DataFrame:
+    """(u, v): forests of the links among sets whose fingerprints of 64 bits hang together within 3 bits."""
+    prints = stage(sets.filter(F.col("n") > ALONE).select("node", "fp", "n").dropDuplicates(["node"]), "near-prints")
+    linked = connected_components(near_links(stage(prints.select("fp").distinct(), "near-fingerprints")))
+    named = prints.join(linked.select(F.col("node").alias("fp"), "component"), "fp", "left").select("node", F.coalesce("component", "fp").alias("component"))
+    several = named.groupBy("component").agg(F.count("*").alias("many")).filter("many > 1").select("component")
+    groups = stage(named.join(several, "component", "left_semi"), "near-close")
+    return _confirmed(groups, texts, sets, prints.withColumn("part", F.col("node")))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, component): a row per input row and the smallest id of its component over all pairs of 0.8 or more.
 
@@ -375,16 +391,27 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     sets = stage(_sets(texts, docs.schema[id_col].dataType.simpleString()), "near-sets")
+    close = stage(close_links(texts, sets), "near-close-links")
+    parts = stage(connected_components(close).select("node", F.col("component").alias("part")), "near-close-parts")
+    links = close.unionByName(further_links(texts, sets, close, parts))
+    named = connected_components(links)
+    whole = stage(sets.select("id", "node").join(named, "node", "left").select("id", F.coalesce("component", "node").alias("part")), "near-parts")
+    return whole.join(whole.groupBy("part").agg(F.min("id").alias("component")), "part").select("id", "component")
+
+
+def further_links(texts: DataFrame, sets: DataFrame, close: DataFrame, parts: DataFrame) -> DataFrame:
+    """(u, v): forests of the links between the ``parts`` (node, part) that ``close`` links have made; other nodes are parts of their own."""
     met = stage(_met(_dealt(texts)), "near-buckets")
     pairs = stage(met.filter("v IS NOT NULL").select("u", "v").distinct(), "near-pairs")
     large = met.filter("v IS NULL").select("key", F.col("u").alias("node"))
-    named = pairs.select(F.explode(F.array("u", "v")).alias("node")).unionByName(large.select("node")).distinct()
-    nodes = stage(sets.select("node", "n", "sketch").join(named, "node", "left_semi").dropDuplicates(["node"]), "near-nodes")
+    named = pairs.select(F.explode(F.array("u", "v")).alias("node")).unionByName(large.select("node")).unionByName(parts.select("node")).distinct()
+    alone = sets.select("node", "n", "sketch").join(named, "node", "left_semi").dropDuplicates(["node"])
+    nodes = stage(alone.join(parts, "node", "left").withColumn("part", F.coalesce("part", "node")), "near-nodes")
     maybe = _near_sketches(pairs, nodes).unionByName(_large_buckets(large, nodes))
-    groups = stage(connected_components(maybe), "near-groups")
-    parts = connected_components(_confirmed(groups, texts, sets, nodes))
-    whole = stage(sets.select("id", "node").join(parts, "node", "left").select("id", F.coalesce("component", "node").alias("part")), "near-parts")
-    return whole.join(whole.groupBy("part").agg(F.min("id").alias("component")), "part").select("id", "component")
+    # What a forest has joined by a part hangs together by the part's links alone.
+    groups = stage(connected_components(maybe.unionByName(close)), "near-groups")
+    several = groups.join(nodes.select("node", "part"), "node").groupBy("component").agg(F.min("part").alias("least"), F.max("part").alias("most")).filter("least <> most").select("component")
+    return _confirmed(stage(groups.join(several, "component", "left_semi"), "near-further"), texts, sets, nodes)
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -33,18 +33,22 @@ DISTANCE = 3
 SEED = 42
 
 
-def fingerprint_of(text: str | None, shingle: int = 3) -> int:
-    """The fingerprint of a whole text, unsigned; 0 for a text without words."""
+def hashes(text: str | None, shingle: int = 3) -> np.ndarray:
+    """h of a whole text's shingles, repeats included; none for a text without words."""
     import xxhash
 
     words = (text or "").encode().lower().split()  # bytes know ASCII letters and ASCII white space only
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     if len(words) <= shingle:
         grams = [b" ".join(words)]
     else:
         grams = map(b" ".join, zip(*(words[k:] for k in range(shingle))))
-    h = np.fromiter(map(_xxh(xxhash), grams), np.uint64)
+    return np.fromiter(map(_xxh(xxhash), grams), np.uint64)
+
+
+def majority(h: np.ndarray) -> int:
+    """The fingerprint of hashes: a bit is 1 if set in over half of them."""
     ones = np.zeros(64, np.int64)
     for at in range(0, len(h), 1 << 16):  # long texts in slices of bounded memory
         part = h[at : at + (1 << 16)]
@@ -52,6 +56,24 @@ def fingerprint_of(text: str | None, shingle: int = 3) -> int:
     return int((np.uint64(1) << np.flatnonzero(2 * ones > len(h)).astype(np.uint64)).sum(dtype=np.uint64))
 
 
+def majorities(h: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """``majority`` of each part of ``h``; the parts begin at ``start``."""
+    bounds, out, begin = np.r_[start, len(h)], [np.zeros(0, np.uint64)], 0
+    while begin < len(start):  # whole parts, about 65,536 hashes at a time
+        end = max(begin + 1, int(np.searchsorted(bounds, bounds[begin] + (1 << 16), "right")) - 1)
+        bits = np.unpackbits(np.ascontiguousarray(h[bounds[begin] : bounds[end]]).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        ones = np.add.reduceat(bits, bounds[begin:end] - bounds[begin], axis=0, dtype=np.int32)
+        most = 2 * ones > np.diff(bounds[begin : end + 1])[:, None]
+        out.append(np.packbits(most, axis=1, bitorder="little").view(np.uint64).ravel())
+        begin = end
+    return np.concatenate(out)
+
+
+def fingerprint_of(text: str | None, shingle: int = 3) -> int:
+    """The fingerprint of a whole text, unsigned; 0 for a text without words."""
+    return majority(hashes(text, shingle))
+
+
 def _xxh(xxhash):
     digest = xxhash.xxh64_intdigest
     return lambda gram: digest(gram, SEED)
