@@ -9,6 +9,9 @@
 4. mixing: sources are read repeatedly, twice at most, until their tokens stand in the target weights;
    no document is left out, and a row comes out once for each time it is read;
 5. packing: the rows become pieces in sequences of 4096 tokens. ``row`` tells apart repeated documents.
+
+Each stage puts ``common.SMALL_BATCHES`` in force, as its result is computed only when it is written;
+``run`` puts the session's own settings back.
 """
 
 from __future__ import annotations
@@ -20,22 +23,27 @@ from keyloom.llm import queries as params
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    common.small_batches(spark)
     return language_id.keep_identified(docs)
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    common.small_batches(spark)
     return exact_dedup.drop_exact_duplicates(docs)
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    common.small_batches(spark)
     return near_sets.drop_near_duplicates(docs)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    common.small_batches(spark)
     return mixing.mix(docs, max_epochs=params.MAX_EPOCHS).select(*docs.columns)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    common.small_batches(spark)
     return packing.best_fit_pack(docs, params.tokenizer_path(), params.WINDOW)
 
 
@@ -53,7 +61,11 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages applied to ``documents`` in turn, each result written as Parquet and reread as the next one's docs."""
-    docs = common.table(spark, sf_dir, "documents")
-    for k, (_, stage) in enumerate(STAGES):
-        docs = common.stage(stage(spark, docs, sf_dir), f"pipeline-{k}")
-    return docs
+    before = common.small_batches(spark)
+    try:
+        docs = common.table(spark, sf_dir, "documents")
+        for k, (_, stage) in enumerate(STAGES):
+            docs = common.stage(stage(spark, docs, sf_dir), f"pipeline-{k}")
+        return docs
+    finally:
+        common.put_back(spark, before)

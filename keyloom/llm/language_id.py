@@ -18,6 +18,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from .common import lean
+
 UNDETERMINED = "und"
 #: Buckets that trigrams are hashed to.
 BUCKETS = 1 << 14
@@ -116,7 +118,7 @@ def train(rows: DataFrame, lang_col: str = "lang", text_col: str = "text", max_r
             at = np.flatnonzero(k)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int64()), pa.array(k[at], pa.int64())], names=["lang", "bucket", "n"])
 
-    got = rows.select("lang", "text").mapInArrow(count, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
+    got = rows.select("lang", "text").mapInArrow(lean(count), "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
     languages = sorted(set(got["lang"].to_pylist()))
     counts = np.zeros((len(languages), BUCKETS))
     place = np.array([languages.index(x) for x in got["lang"].to_pylist()], np.int64)
@@ -168,4 +170,4 @@ def keep_identified(docs: DataFrame, least: float = 0.5, id_col: str = "doc_id",
             found = [model.infer(t.as_py()) for t in b.column(at)]
             yield b.filter(pa.array([lang != UNDETERMINED and score >= least for lang, score, _ in found], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)

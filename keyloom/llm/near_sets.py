@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import lean, stage
 from .components import connected_components
 from .simhash import SEED, hashes, keep_least, majorities, majority, near_links
 
@@ -133,7 +133,7 @@ def _sets(texts: DataFrame, kind: str) -> DataFrame:
                 [b.column(0), pa.array(node, pa.int64()), pa.array(n, pa.int64()), pa.array(sketch, pa.binary()), pa.array(np.array(fp, np.uint64).view(np.int64))], names=["id", "node", "n", "sketch", "fp"]
             )
 
-    return texts.select("id", "text").mapInArrow(run, f"id {kind}, node long, n long, sketch binary, fp long")
+    return texts.select("id", "text").mapInArrow(lean(run), f"id {kind}, node long, n long, sketch binary, fp long")
 
 
 def _dealt(texts: DataFrame) -> DataFrame:
@@ -152,7 +152,7 @@ def _dealt(texts: DataFrame) -> DataFrame:
                 nodes.append(np.full(len(keys[-1]), node))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(nodes))], names=["key", "node"])
 
-    return texts.select("text").mapInArrow(run, "key long, node long")
+    return texts.select("text").mapInArrow(lean(run), "key long, node long")
 
 
 def _met(dealt: DataFrame) -> DataFrame:
@@ -208,7 +208,7 @@ def _met(dealt: DataFrame) -> DataFrame:
         if len(held_key):
             yield told(held_key, held_node, np.array([0, len(held_key)]), np.array([open_key is None or int(held_key[0]) != open_key]))
 
-    return dealt.repartition("key").sortWithinPartitions("key", "node").mapInArrow(run, "key long, u long, v long")
+    return dealt.repartition("key").sortWithinPartitions("key", "node").mapInArrow(lean(run), "key long, u long, v long")
 
 
 def _allowed(n, others):
@@ -231,7 +231,7 @@ def _near_sketches(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["u", "v"]).filter(pa.array(keep))
 
     x, y = (nodes.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"s{c}"), F.col("part").alias(f"p{c}")) for c in "uv")
-    return pairs.join(x, "u").join(y, "v").filter("pu <> pv").select("u", "v", "nu", "nv", "su", "sv").mapInArrow(run, "u long, v long")
+    return pairs.join(x, "u").join(y, "v").filter("pu <> pv").select("u", "v", "nu", "nv", "su", "sv").mapInArrow(lean(run), "u long, v long")
 
 
 def _tiled(rows: DataFrame, by: str, weight: str | None = None) -> DataFrame:
@@ -324,7 +324,7 @@ def _large_buckets(rows: DataFrame, nodes: DataFrame) -> DataFrame:
             yield _links(forest(node, side, part, linked))
 
     tiles = _tiled(rows, "key").join(nodes, "node").select("key", "tile", "side", "node", "n", "part", "sketch")
-    return tiles.repartition("key", "tile").sortWithinPartitions("key", "tile").mapInArrow(run, "u long, v long")
+    return tiles.repartition("key", "tile").sortWithinPartitions("key", "tile").mapInArrow(lean(run), "u long, v long")
 
 
 def _whole(texts: DataFrame, sets: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -339,7 +339,7 @@ def _whole(texts: DataFrame, sets: DataFrame, nodes: DataFrame) -> DataFrame:
 
     # Nodes of null ids alone are not found by an id.
     again = texts.join(few, "id", "left_semi").select("text").unionByName(texts.filter("id IS NULL").select("text"))
-    return again.mapInArrow(run, "node long, tokens binary").dropDuplicates(["node"])
+    return again.mapInArrow(lean(run), "node long, tokens binary").dropDuplicates(["node"])
 
 
 def _confirmed(groups: DataFrame, texts: DataFrame, sets: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -370,7 +370,7 @@ def _confirmed(groups: DataFrame, texts: DataFrame, sets: DataFrame, nodes: Data
     sized = groups.join(nodes.select("node", "n", "part"), "node")
     own = _whole(texts, sets, groups.select("node"))
     tiles = _tiled(sized, "component", "n").join(own, "node").select("component", "tile", "side", "node", "part", "tokens")
-    return tiles.repartition("component", "tile").sortWithinPartitions("component", "tile").mapInArrow(run, "u long, v long")
+    return tiles.repartition("component", "tile").sortWithinPartitions("component", "tile").mapInArrow(lean(run), "u long, v long")
 
 
 def close_links(texts: DataFrame, sets: DataFrame) -> DataFrame:

@@ -21,7 +21,6 @@ Only the named id and text columns are read, so that further columns cannot clas
 
 from __future__ import annotations
 
-import functools
 import random
 import struct
 import sys
@@ -36,7 +35,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import kept, let_go, stage
 
 END_ID = 1
 #: Entries that a worker's token cache holds at most before it starts anew, and the longest chunk it keeps. No effect on results.
@@ -159,10 +158,9 @@ def _tails(chunks: pa.Array, words: pa.Array) -> pa.Array:
     return pa.Array.from_buffers(pa.large_binary(), len(raw), [None, pa.py_buffer(np.r_[0, upto].astype(np.int64).tobytes()), pa.py_buffer(body.tobytes())]).cast(pa.large_string())
 
 
-@functools.lru_cache(1)
 def chunk_tokenizer(path: str) -> ChunkTokenizer:
-    """A worker process keeps its tokenizer and cache from task to task."""
-    return ChunkTokenizer(path)
+    """A worker process keeps its tokenizer and cache from task to task, until tasks of another stage drop them."""
+    return kept((ChunkTokenizer, path), lambda: ChunkTokenizer(path))
 
 
 def tokenised_pieces(docs: DataFrame, tokenizer_path: str, window: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -334,6 +332,7 @@ def _started(items: DataFrame, window: int) -> DataFrame:
     """(block, bins, least, packing): each block best-fitted from its largest item down, or as ``old`` has it if that takes fewer bins."""
 
     def run(key, own):
+        let_go(True)
         own = own.sort_values("uid", kind="stable")
         size = own["length"].to_numpy(np.int64)
         tried = [_rebuilt(size, window, [], np.arange(len(size)), None)]
@@ -353,6 +352,7 @@ def _evolved(items: DataFrame, hard: DataFrame, window: int, islands: int, epoch
 
     def island_epoch(epoch: int):
         def run(key, own, pop):
+            let_go(True)
             block, island = int(key[0]), int(key[1])
             size = own.sort_values("uid", kind="stable")["length"].to_numpy(np.int64)
             if not len(size):
@@ -388,6 +388,7 @@ def _pack_blocks(items: DataFrame, window: int, islands: int, epochs: int, membe
         won = won.join(hard.select("block"), "block", "left_anti").unionByName(grown)
 
     def placed(key, own, best):
+        let_go(True)
         own = own.sort_values("uid", kind="stable").reset_index(drop=True)
         if own.empty:
             return pd.DataFrame({"uid": [], "block": [], "bin": [], "fill": [], "offset": [], "generations": []})
